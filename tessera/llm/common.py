@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,15 +53,20 @@ def fold(key: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], rows: int, chunk_rows: int = 50_000, name: str = "rank") -> DataFrame:
+def chunk_rows(rows: int) -> int:
+    """Rows of a chunk of a two-level sum: as many as there are chunks, 4096 at least."""
+    return max(4096, math.isqrt(rows))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], rows: int, name: str = "rank") -> DataFrame:
     """Add a dense 0-based ``name`` among rows of equal ``keys`` without gathering a key in one task.
 
     Rows of a key are dealt by hash into chunks, numbered within their chunk,
     and shifted by the sizes of the chunks before; ``rows`` (the table's size)
-    sets how many chunks there are, so each window sees about ``chunk_rows`` rows
-    however hot its key is. The order is by chunk, then by ``order``.
+    sets how many chunks there are, so each window sees about ``chunk_rows(rows)``
+    rows however hot its key is. The order is by chunk, then by ``order``.
     """
-    chunks = max(1, -(-rows // chunk_rows))
+    chunks = max(1, -(-rows // chunk_rows(rows)))
     dealt = df.withColumn("_chunk", F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
     sizes = dealt.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import chunk_rows, cut, shuffle_partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block; slots of an output shard; rounds of a permutation.
@@ -22,8 +22,8 @@ BLOCK, SHARD_SLOTS, ROUNDS = 512, 4096, 24
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Rows up to which a table by source is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 20_000
-#: Documents whose offsets one window adds up, and slots that one row unfolds to.
-CHUNK_DOCS, CHUNK_SLOTS = 50_000, 4096
+#: Slots that one row unfolds to.
+CHUNK_SLOTS = 4096
 
 
 def permuted(index: Column, size: Column, *key: Column, inverse: bool = False) -> Column:
@@ -73,7 +73,8 @@ def laid_out(docs: DataFrame) -> DataFrame:
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source(F.col("source")).alias("_source"), size.alias("size"), F.xxhash64("text").alias("_hash")))
-    chunks = max(1, -(-rows.count() // CHUNK_DOCS))
+    n = rows.count()
+    chunks = max(1, -(-n // chunk_rows(n)))
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_source", "_hash").orderBy("size")))
     rows = rows.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "_hash", "_copy"), F.lit(chunks)))
     sums = rows.groupBy("_source", "_chunk").agg(F.sum("size").alias("_words"))
@@ -111,7 +112,7 @@ def slots(plan: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, s
     """One row per slot of the mix: _source, shard, slot (in its shard), _turn (pass over the source), _block, _words to read."""
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_slots") - 1) / CHUNK_SLOTS).cast("long")))
     out = plan.filter("_slots > 0").withColumn("_c", chunk)
-    out = out.repartition(F.xxhash64("_source", "_c")) if plan.count() else out
+    out = out.repartition(shuffle_partitions(plan.sparkSession), "_source", "_c")
     first = F.col("_c") * CHUNK_SLOTS
     out = out.withColumn("_k", F.explode(F.sequence(first, F.least(first + CHUNK_SLOTS, F.col("_slots")) - 1)))
     out = out.withColumn("_turn", F.floor(F.col("_k") / F.col("_blocks")).cast("long"))
@@ -134,7 +135,7 @@ def pieces(placed: DataFrame, taken: DataFrame, block: int = BLOCK) -> DataFrame
     last = F.floor((F.col("_start") + F.col("size") - 1) / block)
     blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("_start") / block).cast("long"), last.cast("long"))).otherwise(F.array(F.lit(-1).cast("long")))
     parts = placed.withColumn("_block", F.explode(blocks))
-    joined = parts.join(taken.select("_source", "_block", "_words", "_turn", "shard", "slot"), ["_source", "_block"], "left")
+    joined = parts.join(taken.select("_source", "_block", "_words", "_turn", "shard", "slot").hint("merge"), ["_source", "_block"], "left")
     begin = F.greatest(F.col("_start"), F.col("_block") * block)
     end = F.least(F.col("_start") + F.col("size"), F.col("_block") * block + F.col("_words"))
     joined = joined.withColumn("at", begin - F.col("_start"))
