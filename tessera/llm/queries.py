@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, langid, linededup, mixing, nndescent, packing, simhash, tokencount, toxicity
+from tessera.llm import ann, langid, linededup, mixing, nndescent, packing, simhash, suffixdedup, tokencount, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup_strings(_read(spark, sf_dir, "documents"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -69,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
+    "op9_repeats": op9_repeats,
     "op10_pack": op10_pack,
 }
