@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import buffers
-from tessera.llm.common import bounded_batches, cut, shuffle_partitions
+from tessera.llm.common import bounded_batches, cut_table, shuffle_partitions
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text whose anchors a bucket gets, and suffixes of an index.
@@ -123,7 +123,7 @@ def dealt_anchors(rows: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 def shared_anchors(dealt: DataFrame) -> DataFrame:
-    """(row, doc, at, anchor, whole): anchors of several documents; whole if an earlier document has the
+    """(row, at, anchor, whole): anchors of several documents; whole if an earlier document has the
     whole context, else the context's first holder, where other contexts have the anchor too."""
 
     def compared(table: pa.Table) -> pa.Table:
@@ -150,9 +150,9 @@ def shared_anchors(dealt: DataFrame) -> DataFrame:
         first_doc = doc[firsts][np.cumsum(new_context) - 1] if n else doc
         whole = doc > first_doc
         chosen = several & (whole | (new_context & (contexts > 1)))
-        return pa.table({"row": row[chosen], "doc": doc[chosen], "at": at[chosen].astype(np.int64), "anchor": own[chosen].view(np.int64), "whole": whole[chosen]})
+        return pa.table({"row": row[chosen], "at": at[chosen].astype(np.int64), "anchor": np.where(whole, np.uint64(0), own)[chosen].view(np.int64), "whole": whole[chosen]})
 
-    return dealt.groupBy("bucket").applyInArrow(compared, "row long, doc long, at long, anchor long, whole boolean")
+    return dealt.groupBy("bucket").applyInArrow(compared, "row long, at long, anchor long, whole boolean")
 
 
 class RunIndex:
@@ -215,7 +215,7 @@ def partial_matches(rows: DataFrame, shared: DataFrame, length: int) -> DataFram
     reach = length - GRAM
     width = 2 * reach + GRAM
     wanted = shared.filter("not whole").groupBy("row").agg(F.collect_list(F.struct("at", "anchor")).alias("wanted"))
-    both = rows.dropDuplicates(["row"]).join(wanted, "row").select("row", "doc", "text", F.col("wanted.at").alias("at"), F.col("wanted.anchor").alias("anchor"))
+    both = rows.join(wanted, "row").select("row", "doc", "text", F.col("wanted.at").alias("at"), F.col("wanted.anchor").alias("anchor"))
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,11 +273,10 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = _identity(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), -(-total // BUCKET_BYTES))
-    dealt = dealt_anchors(rows, buckets, length).repartition(buckets, "bucket")
-    shared = cut(shared_anchors(dealt))
+    shared = cut_table(shared_anchors(dealt_anchors(rows, buckets, length).repartition(buckets, "bucket")))
     _release(spark)
     reach = length - GRAM
-    part = cut(partial_matches(rows, shared, length))
+    part = cut_table(partial_matches(rows, shared, length))
     _release(spark)
     whole = shared.filter("whole").select("row", (F.col("at") - reach).alias("first"), F.col("at").alias("last"))
     return whole.unionAll(part).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
