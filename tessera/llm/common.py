@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Rows, and bytes where Spark knows the setting, that one Arrow batch may hold.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: ASCII white space, the separators of words and the characters stripped from lines.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,10 +41,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_table(df: DataFrame) -> DataFrame:
-    """As ``cut``, for large tables: compressed columns, which stay in the shared folder as long as it does."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """As ``cut``, for large tables: compressed columns, which stay in the shared folder as long as it does.
+
+    The shuffle files that the table came from go as soon as it is written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
