@@ -28,7 +28,7 @@ from tessera.llm.common import bounded_batches, cut_table, shuffle_partitions
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text whose anchors a bucket gets, and suffixes of an index.
-BUCKET_BYTES, INDEX_SUFFIXES = 12 << 20, 2 << 20
+BUCKET_BYTES, INDEX_SUFFIXES = 8 << 20, 1 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 BEFORE, AFTER = 0xFF, 0xFE  # bytes that UTF-8 doesn't have, around a text
 
