@@ -6,7 +6,7 @@ pointers. The rules are those of unigram tokenizers: a piece scores its
 logarithm, a character that is no piece scores the least score less 10 and
 counts as its bytes (or, without byte pieces, runs of them as one), sums are in
 double precision, and of equal scores the piece that starts first wins. White
-space becomes U+2581, one of which is put before a text.
+space becomes U+2581, one of which is put before a text that doesn't begin with it.
 """
 
 from __future__ import annotations
@@ -86,7 +86,8 @@ class Counter:
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Pieces of each text; a null or empty text has none."""
         texts = texts.fill_null("") if texts.null_count else texts
-        led = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(pa.scalar(" ", texts.type), texts, pa.scalar("", texts.type)))
+        ready = pc.or_(pc.equal(pc.binary_length(texts), 0), pc.or_(pc.starts_with(texts, " "), pc.starts_with(texts, SPACE)))
+        led = pc.if_else(ready, texts, pc.binary_join_element_wise(pa.scalar(" ", texts.type), texts, pa.scalar("", texts.type)))
         data, offsets = buffers(led)
         numbers, firsts = self.cache.lookup(data, offsets)
         total = np.concatenate([[0], np.cumsum(self.cache.flat(numbers)[0].astype(np.int64))])
