@@ -53,30 +53,42 @@ def _words(text: str) -> list[bytes]:
 
 
 def _contexts(texts: list[str]) -> tuple[Counter, int]:
-    """For each stem the number of distinct (word before, word) pairs it opens, copies counting once."""
-    pairs = set()
+    """For each word the number of distinct words before it, copies of a text counting once, and how many pairs there are."""
+    numbers: dict[bytes, int] = {b"": 0}
+    pairs = []
     for text in texts:
-        words = _words(text)
-        pairs.update(zip([b"", *words], words, strict=False))
-    by_word = Counter(word.strip(PUNCTUATION) for _, word in pairs)
-    stems: Counter = Counter()
-    for word, n in by_word.items():
-        led = b" " + word
-        for size in STEM_BYTES:
-            if len(led) >= size:
-                stems[led[:size]] += n
-    return stems, max(1, len(pairs))
+        ids = np.array([0, *[numbers.setdefault(w, len(numbers)) for w in _words(text)]], np.int64)
+        pairs.append(ids[:-1] << 32 | ids[1:])
+    distinct = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+    counts = np.bincount(distinct & 0xFFFFFFFF, minlength=len(numbers)).tolist()
+    words: Counter = Counter()
+    for word, n in zip(numbers, counts, strict=True):
+        words[b" " + word.strip(PUNCTUATION)] += n
+    return words, max(1, len(distinct))
 
 
 def _stems(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    ours, n = _contexts(toxic)
-    theirs, m = _contexts(ordinary)
+    words, n = _contexts(toxic)
+    ours: Counter = Counter()
+    for size in STEM_BYTES:  # a stem has no more contexts than the shorter ones it extends
+        counts: Counter = Counter()
+        for led, k in words.items():
+            if len(led) >= size and (size == STEM_BYTES[0] or led[: size - 1] in ours):
+                counts[led[:size]] += k
+        ours.update({stem: k for stem, k in counts.items() if k >= STEM_CONTEXTS})
+    words, m = _contexts(ordinary)
+    theirs: Counter = Counter()
+    for led, k in words.items():
+        for size in STEM_BYTES:
+            if len(led) < size or led[:size] not in ours:
+                break
+            theirs[led[:size]] += k
     found = {}
     for stem, a in ours.items():
         expected = (a + theirs[stem]) * n / (n + m)
         deviations = (a - expected) / math.sqrt(expected)
         ratio = (a + 0.5) / n / ((theirs[stem] + 0.5) / m)
-        if a >= STEM_CONTEXTS and ratio >= STEM_RATIO and deviations >= STEM_DEVIATIONS:
+        if ratio >= STEM_RATIO and deviations >= STEM_DEVIATIONS:
             found[stem] = deviations
     short = {longer[:-cut] for longer in found for cut in range(1, len(longer) - 3) if ours[longer] >= STEM_KEEPS * ours[longer[:-cut]]}
     kept: list[bytes] = []
