@@ -178,7 +178,12 @@ def fit_texts(texts: list[str], toxic: list[int]) -> Model:
     ours = [t for t, k, use in zip(texts, toxic, learn, strict=True) if k == 1 and use]
     theirs = [t for t, k, use in zip(texts, toxic, learn, strict=True) if k == 0 and use]
     ordinary, toxic_content, carrier = train_dictionaries(ours, theirs)
-    margins, firsts = Margins(ordinary, toxic_content, carrier).by_text(pa.array(texts, pa.string()))
+    measure, some, begins = Margins(ordinary, toxic_content, carrier), [], [np.zeros(1, np.int64)]
+    for at in range(0, len(texts), 64):  # a few texts at a time, as the driver has little memory
+        values, first = measure.by_text(pa.array(texts[at : at + 64], pa.string()))
+        some.append(values)
+        begins.append(first[1:] + begins[-1][-1])
+    margins, firsts = np.concatenate(some), np.concatenate(begins)
     rest = ~learn if not learn.all() else learn
     best: tuple = (math.inf,)
     for threshold in range(1, 7):
