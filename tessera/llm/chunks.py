@@ -18,6 +18,17 @@ SPAN = 96
 _TABLE = np.random.default_rng(20240229).integers(0, 2**64, size=(SPAN, 256), dtype=np.uint64)
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key, make: Callable):
+    """What ``make`` gives, kept in this worker until another key is asked for: one large cache a worker, not one for each model."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column (nulls empty) and its n + 1 offsets."""
     if texts.null_count:
@@ -47,7 +58,7 @@ def split(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple
 class ChunkCache:
     """What ``encode`` gives each distinct chunk: uint32 values flat in one pool, and how many for each."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], separators: bytes, most: int = 600_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], separators: bytes, most: int = 300_000):
         self.encode, self.most = encode, most
         self.separator = np.zeros(256, bool)
         self.separator[list(separators)] = True

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.chunks import ChunkCache, buffers
+from tessera.llm.chunks import ChunkCache, buffers, resident
 from tessera.llm.common import bounded_batches, cut, ranked
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -31,7 +31,6 @@ SEPARATORS = b" \n\t\r"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Other white space in UTF-8: a text with any of it is encoded whole, not by chunks.
 OTHER_SPACE = rb"[\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
-_ENCODERS: dict = {}
 
 
 class ByteBpe:
@@ -104,18 +103,12 @@ class ByteBpe:
         return out
 
 
-def _encoder(path: str) -> ByteBpe:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ByteBpe(path)
-    return _ENCODERS[path]
-
-
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document: whole windows, then the rest (column ids: the piece's ids)."""
     bounded_batches(docs.sparkSession)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = resident(("byte bpe", tokenizer), lambda: ByteBpe(tokenizer))
         end = np.array([end_id], "<u4")
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.chunks import ChunkCache, buffers
+from tessera.llm.chunks import ChunkCache, buffers, resident
 from tessera.llm.common import bounded_batches
 
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
@@ -94,9 +94,6 @@ class Counter:
         return total[firsts[1:]] - total[firsts[:-1]]
 
 
-_COUNTERS: dict = {}
-
-
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
     """doc_id and n_tokens of every row of ``docs`` (doc_id, text), by the vocabulary of the sentencepiece file ``model``.
 
@@ -106,7 +103,7 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _COUNTERS.get(model) or _COUNTERS.setdefault(model, Counter(vocabulary(model)))
+        counter = resident(("counter", model), lambda: Counter(vocabulary(model)))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter.counts(batch.column(1)))], ["doc_id", "n_tokens"])
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.chunks import ChunkCache, buffers
+from tessera.llm.chunks import ChunkCache, buffers, resident
 from tessera.llm.common import bounded_batches, fold
 
 #: Labelled rows of each class that a fit reads at most, by hash of their id.
@@ -214,15 +214,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn, toxic_rows: int =
     return [r["text"] or "" for r in rows], [int(r["toxic"]) for r in rows]
 
 
-_LOADED: dict = {}
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score, the probability of toxic, of every row; only the text is looked at."""
     bounded_batches(docs.sparkSession)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margins = _LOADED.get(model) or _LOADED.setdefault(model, Margins(model.ordinary, model.toxic, model.carrier))
+        margins = resident(model, lambda: Margins(model.ordinary, model.toxic, model.carrier))
         for batch in batches:
             x = features(*margins.by_text(batch.column(1)), model.threshold)
             p = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
@@ -255,7 +252,7 @@ def reject(docs: DataFrame, model: Model, limit: float = 0.3) -> DataFrame:
     place = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margins = _LOADED.get(model) or _LOADED.setdefault(model, Margins(model.ordinary, model.toxic, model.carrier))
+        margins = resident(model, lambda: Margins(model.ordinary, model.toxic, model.carrier))
         for batch in batches:
             x = features(*margins.by_text(batch.column(place).cast(pa.string())), model.threshold)
             p = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
