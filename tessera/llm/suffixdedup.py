@@ -4,13 +4,19 @@ Every string of ``length`` bytes holds an anchor, the GRAM-byte substring of lea
 hash among those in it, so equal strings hold equal anchors at equal places.
 Anchors are dealt by hash; those of one document only are dropped, and of each
 anchor's distinct contexts (the bytes that strings holding the anchor there can
-reach) the earliest document's goes on, all later ones being covered by it.
+reach) the earliest document's goes on, all later ones being covered by it. Of equal
+contexts in one batch only the earliest document's is dealt, so a group of copies
+sends a few rows a batch.
 Where an anchor has several contexts, these are indexed together: a Burrows-Wheeler
 transform, kept as runs with the first place and the count before each run
 sampled at its end, over which all contexts stream from right to left, each step
 giving the interval of suffixes that share the next ``length`` bytes and, kept with
 the interval, the earliest document among them. A string is a long match if that
 document is earlier than its own.
+An anchor with more contexts than an index takes isn't gathered: its contexts are
+dealt again by the anchor with half of the reach before it, and by the anchor with
+half of the reach after it, one of which every string holds. Where even those have
+too many, the earliest document of each string is found by a salted aggregation.
 """
 
 from __future__ import annotations
@@ -20,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import buffers
-from tessera.llm.common import bounded_batches, cut_table, shuffle_partitions
+from tessera.llm.common import bounded_batches, cut, cut_table, shuffle_partitions
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text whose anchors a bucket gets, and suffixes of an index.
@@ -88,8 +95,24 @@ def _concat(parts: list, kind: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def _later(own: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which entries have an earlier document's entry of equal anchor and context beside them."""
+    if not len(own):
+        return np.zeros(0, bool)
+    order = np.lexsort((doc, context, own))
+    new = np.r_[True, (own[order][1:] != own[order][:-1]) | (context[order][1:] != context[order][:-1])]
+    firsts = doc[order][np.flatnonzero(new)]
+    later = np.zeros(len(own), bool)
+    later[order] = doc[order] > firsts[np.cumsum(new) - 1]
+    return later
+
+
 def dealt_anchors(rows: DataFrame, buckets: int, length: int) -> DataFrame:
-    """One row per batch and bucket: packed hashes, context hashes, documents, rows and places of anchors."""
+    """One row per batch and bucket: packed hashes, context hashes, documents, rows and places of anchors.
+
+    What an earlier document of the same batch covers is decided there: its rows
+    and places go along in ``covered``, to a bucket that the batch's first row sets.
+    """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,17 +125,25 @@ def dealt_anchors(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                 for part, values in zip(parts, (own, context, np.full(len(at), doc[i]), np.full(len(at), row[i]), at), strict=True):
                     part.append(values)
             own, context, docs, ids, at = (_concat(p, k) for p, k in zip(parts, ("u8", "u8", "i8", "i8", "i8"), strict=True))
+            later = _later(own, context, docs)
+            covered = ids[later].tobytes() + at[later].astype("<u4").tobytes()
+            own, context, docs, ids, at = (x[~later] for x in (own, context, docs, ids, at))
             bucket = (_mix(own ^ _C) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out: list[list] = [[], []]
+            out: list[list] = [[], [], []]
+            if covered:
+                out[0].append(int(row[0]) % buckets)
+                out[1].append(None)
+                out[2].append(covered)
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 some = order[bounds[b] : bounds[b + 1]]
                 out[0].append(b)
                 out[1].append(own[some].tobytes() + context[some].tobytes() + docs[some].tobytes() + ids[some].tobytes() + at[some].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["bucket", "packed"])
+                out[2].append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["bucket", "packed", "covered"])
 
-    return rows.mapInArrow(packed, "bucket long, packed binary")
+    return rows.mapInArrow(packed, "bucket long, packed binary, covered binary")
 
 
 def shared_anchors(dealt: DataFrame) -> DataFrame:
@@ -121,7 +152,7 @@ def shared_anchors(dealt: DataFrame) -> DataFrame:
 
     def compared(table: pa.Table) -> pa.Table:
         parts: list[list] = [[], [], [], [], []]
-        for blob in table.column("packed"):
+        for blob in table.column("packed").drop_null():
             raw = blob.as_buffer()
             n = len(raw) // 36
             for k in range(4):
@@ -143,7 +174,13 @@ def shared_anchors(dealt: DataFrame) -> DataFrame:
         first_doc = doc[firsts][np.cumsum(new_context) - 1] if n else doc
         whole = doc > first_doc
         chosen = several & (whole | (new_context & (contexts > 1)))
-        return pa.table({"row": row[chosen], "at": at[chosen].astype(np.int64), "anchor": np.where(whole, np.uint64(0), own)[chosen].view(np.int64), "whole": whole[chosen]})
+        found = [[row[chosen]], [at[chosen].astype(np.int64)], [np.where(whole, np.uint64(0), own)[chosen].view(np.int64)], [whole[chosen]]]
+        for blob in table.column("covered").drop_null():
+            raw = blob.as_buffer()
+            n = len(raw) // 12
+            for column, values in zip(found, (np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64), np.zeros(n, np.int64), np.ones(n, bool)), strict=True):
+                column.append(values)
+        return pa.table(dict(zip(("row", "at", "anchor", "whole"), map(np.concatenate, found), strict=True)))
 
     return dealt.groupBy("bucket").applyInArrow(compared, "row long, at long, anchor long, whole boolean")
 
@@ -203,43 +240,61 @@ def long_matches(rows: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def partial_matches(rows: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """(row, first, last): places where strings start that an earlier document has, from contexts that share an anchor only."""
+def contexts_of(rows: DataFrame, wanted: DataFrame, length: int, halves: bool) -> DataFrame:
+    """(key, side, row, doc, at, context) of the anchors (row, at, anchor) ``wanted``.
+
+    The key is the anchor, or with ``halves`` one of two: it and half of the reach
+    before it (side 1) or after it (side 2).
+    """
     reach = length - GRAM
-    width = 2 * reach + GRAM
-    wanted = shared.filter("not whole").groupBy("row").agg(F.collect_list(F.struct("at", "anchor")).alias("wanted"))
+    width, half = 2 * reach + GRAM, reach // 2
+    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("at", "anchor")).alias("wanted"))
     both = rows.join(wanted, "row").select("row", "doc", "text", F.col("wanted.at").alias("at"), F.col("wanted.anchor").alias("anchor"))
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             whole = data.tobytes()
-            columns: list[list] = [[], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], []]
             for i, (row, doc, ats, keys) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 text = bytes([BEFORE]) * reach + whole[offsets[i] : offsets[i + 1]] + bytes([AFTER]) * reach
                 last = len(text) - 2 * reach - length
                 for at, key in zip(ats, keys, strict=True):
-                    for column, value in zip(columns, (key, row, doc, at << 32 | last if last < 1 << 31 else -1, text[at : at + width]), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:4]], pa.array(columns[4], pa.binary())], ["anchor", "row", "doc", "at", "context"])
+                    context = text[at : at + width]
+                    dealt = [(key, 0)]
+                    if halves:
+                        dealt = [(xxhash.xxh64_intdigest(part, side) - 2**63, side) for side, part in ((1, context[half : reach + GRAM]), (2, context[reach : half + length]))]
+                    for own, side in dealt:
+                        for column, value in zip(columns, (own, side, row, doc, at << 32 | last if last < 1 << 31 else -1, context), strict=True):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.binary())], ["key", "side", "row", "doc", "at", "context"])
+
+    return both.mapInArrow(extracted, "key long, side long, row long, doc long, at long, context binary")
+
+
+def _in_reach(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each context and start in it: the place in its text, and whether a string starts there that the key is for."""
+    reach = length - GRAM
+    packed, side = table.column("at").to_numpy(), table.column("side").to_numpy()[:, None]
+    column = np.arange(reach + 1)[None, :]
+    starts = (packed >> 32)[:, None] - reach + column
+    mine = (starts >= 0) & (starts <= (packed & 0xFFFFFFFF)[:, None])
+    return starts, mine & ((side != 1) | (column <= reach // 2)) & ((side != 2) | (column >= reach // 2))
 
-    contexts = both.mapInArrow(extracted, "anchor long, row long, doc long, at long, context binary")
-    contexts = contexts.repartition(shuffle_partitions(rows.sparkSession), "anchor").sortWithinPartitions("anchor")
-    most = max(1, INDEX_SUFFIXES // width)
+
+def indexed_matches(contexts: DataFrame, length: int, most: int) -> DataFrame:
+    """(row, first, last) by run indexes over all contexts of a key, of which no key has more than ``most``."""
+    contexts = contexts.repartition(shuffle_partitions(contexts.sparkSession), "key").sortWithinPartitions("key")
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(table: pa.Table) -> pa.RecordBatch:
-            doc, row = table.column("doc").to_numpy(), table.column("row").to_numpy()
-            packed = table.column("at").to_numpy()
-            at, last = packed >> 32, packed & 0xFFFFFFFF
-            texts = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(-1, width)
-            hits = long_matches(texts, doc, length)
-            starts = at[:, None] - reach + np.arange(reach + 1)[None, :]
-            hits &= (starts >= 0) & (starts <= last[:, None])
+            texts = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+            starts, mine = _in_reach(table, length)
+            hits = long_matches(texts, table.column("doc").to_numpy(), length) & mine
             edge = np.diff(np.pad(hits.astype(np.int8), ((0, 0), (1, 1))), axis=1)
             r, a = np.nonzero(edge == 1)
             _, b = np.nonzero(edge == -1)
-            return pa.RecordBatch.from_arrays([pa.array(row[r]), pa.array(starts[r, a]), pa.array(starts[r, 0] + b - 1)], ["row", "first", "last"])
+            return pa.RecordBatch.from_arrays([pa.array(table.column("row").to_numpy()[r]), pa.array(starts[r, a]), pa.array(starts[r, 0] + b - 1)], ["row", "first", "last"])
 
         held: pa.Table | None = None
         for batch in batches:
@@ -248,7 +303,7 @@ def partial_matches(rows: DataFrame, shared: DataFrame, length: int) -> DataFram
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
             if held.num_rows >= most:
-                keys = held.column("anchor").to_numpy()
+                keys = held.column("key").to_numpy()
                 begin = int(np.searchsorted(keys, keys[-1]))
                 if begin:
                     yield out(held.slice(0, begin))
@@ -259,7 +314,50 @@ def partial_matches(rows: DataFrame, shared: DataFrame, length: int) -> DataFram
     return contexts.mapInArrow(matched, "row long, first long, last long")
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def counted_matches(contexts: DataFrame, length: int) -> DataFrame:
+    """(row, first, last) by the earliest document of each string, however many contexts a key has.
+
+    Equal strings are salted by row: a salt's earliest document comes first, then
+    the earliest of all salts, which goes back to each of them.
+    """
+    salts = shuffle_partitions(contexts.sparkSession)
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            starts, mine = _in_reach(table, length)
+            r, a = np.nonzero(mine)
+            texts = table.column("context").to_pylist()
+            digests = [hashlib.blake2b(texts[i][k : k + length], digest_size=16).digest() for i, k in zip(r.tolist(), a.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(table.column("row").to_numpy()[r]), pa.array(table.column("doc").to_numpy()[r]), pa.array(starts[r, a]), pa.array(digests, pa.binary())], ["row", "doc", "start", "string"])
+
+    found = contexts.mapInArrow(strings, "row long, doc long, start long, string binary").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
+    salted = found.groupBy("string", "salt").agg(F.min("doc").alias("earliest"))
+    earliest = salted.groupBy("string").agg(F.min("earliest").alias("earliest"))
+    salted = salted.drop("earliest").join(earliest, "string")
+    return found.join(salted, ["string", "salt"]).filter("doc > earliest").select("row", F.col("start").alias("first"), F.col("start").alias("last"))
+
+
+def partial_matches(rows: DataFrame, shared: DataFrame, length: int, suffixes: int = INDEX_SUFFIXES) -> list[DataFrame]:
+    """Tables of (row, first, last): places where strings start that an earlier document has, from contexts that share an anchor only.
+
+    Keys with more contexts than an index of ``suffixes`` takes are counted exactly
+    and dealt by longer keys, those of them that have too many still by strings.
+    """
+    most = max(1, suffixes // (2 * (length - GRAM) + GRAM))
+    wanted = shared.filter("not whole").select("row", "at", "anchor")
+    hot = cut(wanted.groupBy("anchor").count().filter(F.col("count") > most).select("anchor"))
+    if hot.isEmpty():
+        return [indexed_matches(contexts_of(rows, wanted, length, False), length, most)]
+    halves = cut_table(contexts_of(rows, wanted.join(hot, "anchor", "left_semi"), length, True))
+    hotter = cut(halves.groupBy("key").count().filter(F.col("count") > most).select("key"))
+    cold = contexts_of(rows, wanted.join(hot, "anchor", "left_anti"), length, False)
+    if hotter.isEmpty():
+        return [indexed_matches(cold, length, most), indexed_matches(halves, length, most)]
+    return [indexed_matches(cold, length, most), indexed_matches(halves.join(hotter, "key", "left_anti"), length, most), counted_matches(halves.join(hotter, "key", "left_semi"), length)]
+
+
+def removed_spans(docs: DataFrame, length: int = LENGTH, suffixes: int = INDEX_SUFFIXES) -> DataFrame:
     """(row, spans): by row of ``_identity(docs)``, packed pairs of the first and last place where removed strings start."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -268,12 +366,13 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = max(shuffle_partitions(spark), -(-total // BUCKET_BYTES))
     shared = cut_table(shared_anchors(dealt_anchors(rows, buckets, length).repartition(buckets, "bucket")))
     reach = length - GRAM
-    part = cut_table(partial_matches(rows, shared, length))
     whole = shared.filter("whole").select("row", (F.col("at") - reach).alias("first"), F.col("at").alias("last"))
-    return whole.unionAll(part).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    for part in partial_matches(rows, shared, length, suffixes):
+        whole = whole.unionAll(cut_table(part))
+    return whole.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
-def dedup_strings(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def dedup_strings(docs: DataFrame, length: int = LENGTH, with_text: bool = False, suffixes: int = INDEX_SUFFIXES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row (and kept, the bytes, ``with_text``).
 
     A byte goes if a string of ``length`` bytes over it also starts in a document
@@ -282,7 +381,7 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, with_text: bool = False
     equal id don't remove each other's bytes; an empty table gives no rows; other
     columns are ignored.
     """
-    found = removed_spans(docs, length).withColumnRenamed("row", "_row")
+    found = removed_spans(docs, length, suffixes).withColumnRenamed("row", "_row")
     rows = _identity(docs).withColumn("doc_id", F.when(F.col("doc") != -(2**63), F.col("doc")))
     both = rows.join(found, F.col("row") == F.col("_row"), "left").select("doc_id", "text", F.col("spans.first").alias("first"), F.col("spans.last").alias("last"))
 

@@ -101,8 +101,14 @@ def test_line_dedup(spark, corpus):
     assert linededup.apply(df).columns == df.columns
 
 
-def test_repeated_strings(spark, corpus):
-    df, texts, ids = table(spark, corpus)
+@pytest.mark.parametrize("suffixes", [suffixdedup.INDEX_SUFFIXES, 84 * 20, 84])
+def test_repeated_strings(spark, corpus, suffixes):
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    tails, passage = [letters(40) for _ in range(3)], letters(70)
+    often = [letters(rng.randint(0, 40)) + "the very same words, " + rng.choice(tails) + letters(5) for _ in range(80)]
+    often += [letters(30) + passage[rng.randint(0, 9) :] + letters(30) for _ in range(60)]
+    df, texts, ids = table(spark, [*corpus, *often])
     first = {}
     for i, t in zip(ids, texts, strict=True):
         b = (t or "").encode()
@@ -117,7 +123,7 @@ def test_repeated_strings(spark, corpus):
                 cover[k : k + 50] = [True] * 50
         kept = bytes(c for c, gone in zip(b, cover, strict=False) if not gone)
         want.append((i, len(b), sum(cover), sum(cover[k] and (k == 0 or not cover[k - 1]) for k in range(len(b))), hashlib.sha256(kept).hexdigest()))
-    assert sorted(tuple(r) for r in suffixdedup.dedup_strings(df).collect()) == sorted(want) and sum(w[2] for w in want) > 1000
+    assert sorted(tuple(r) for r in suffixdedup.dedup_strings(df, suffixes=suffixes).collect()) == sorted(want) and sum(w[2] for w in want) > 1000
     assert suffixdedup.dedup_strings(df.limit(0)).count() == 0
 
 
