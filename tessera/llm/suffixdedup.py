@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import buffers
-from tessera.llm.common import bounded_batches, cut, cut_table, shuffle_partitions
+from tessera.llm.common import bounded_batches, cut_table, shuffle_partitions
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text whose anchors a bucket gets, and suffixes of an index.
@@ -240,46 +240,61 @@ def long_matches(rows: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def contexts_of(rows: DataFrame, wanted: DataFrame, length: int, halves: bool) -> DataFrame:
-    """(key, side, row, doc, at, context) of the anchors (row, at, anchor) ``wanted``.
+def contexts_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(key, side, row, doc, at, context) of the anchors (row, at, anchor, hot) ``wanted``.
 
-    The key is the anchor, or with ``halves`` one of two: it and half of the reach
-    before it (side 1) or after it (side 2).
+    The key is the anchor, or for a hot one in turn: it and half of the reach
+    before it (side 1) or after it (side 2), each with what strings that hold the
+    key can reach.
     """
     reach = length - GRAM
     width, half = 2 * reach + GRAM, reach // 2
-    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("at", "anchor")).alias("wanted"))
-    both = rows.join(wanted, "row").select("row", "doc", "text", F.col("wanted.at").alias("at"), F.col("wanted.anchor").alias("anchor"))
+    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("at", "anchor", "hot")).alias("wanted"))
+    both = rows.join(wanted, "row").select("row", "doc", "text", F.col("wanted.at").alias("at"), F.col("wanted.anchor").alias("anchor"), F.col("wanted.hot").alias("hot"))
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             whole = data.tobytes()
             columns: list[list] = [[], [], [], [], [], []]
-            for i, (row, doc, ats, keys) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            for i, (row, doc, ats, keys, hots) in enumerate(zip(*[batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5)], strict=True)):
                 text = bytes([BEFORE]) * reach + whole[offsets[i] : offsets[i + 1]] + bytes([AFTER]) * reach
                 last = len(text) - 2 * reach - length
-                for at, key in zip(ats, keys, strict=True):
+                for at, key, hot in zip(ats, keys, hots, strict=True):
                     context = text[at : at + width]
-                    dealt = [(key, 0)]
-                    if halves:
-                        dealt = [(xxhash.xxh64_intdigest(part, side) - 2**63, side) for side, part in ((1, context[half : reach + GRAM]), (2, context[reach : half + length]))]
-                    for own, side in dealt:
-                        for column, value in zip(columns, (own, side, row, doc, at << 32 | last if last < 1 << 31 else -1, context), strict=True):
+                    dealt = [(key, 0, context)]
+                    if hot:
+                        before, after = context[half : reach + GRAM], context[reach : half + length]
+                        dealt = [(xxhash.xxh64_intdigest(before, 1) - 2**63, 1, context[: half + length]), (xxhash.xxh64_intdigest(after, 2) - 2**63, 2, context[reach - half :])]
+                    for own, side, reached in dealt:
+                        for column, value in zip(columns, (own, side, row, doc, at << 32 | last, reached), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.binary())], ["key", "side", "row", "doc", "at", "context"])
 
     return both.mapInArrow(extracted, "key long, side long, row long, doc long, at long, context binary")
 
 
-def _in_reach(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each context and start in it: the place in its text, and whether a string starts there that the key is for."""
+def _by_width(table: pa.Table, length: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """The contexts of anchors, then those of halves: rows, bytes, and for each start in them its place and whether a string starts there."""
     reach = length - GRAM
-    packed, side = table.column("at").to_numpy(), table.column("side").to_numpy()[:, None]
-    column = np.arange(reach + 1)[None, :]
-    starts = (packed >> 32)[:, None] - reach + column
-    mine = (starts >= 0) & (starts <= (packed & 0xFFFFFFFF)[:, None])
-    return starts, mine & ((side != 1) | (column <= reach // 2)) & ((side != 2) | (column >= reach // 2))
+    sides = table.column("side").to_numpy()
+    for some in (sides == 0, sides > 0):
+        if some.any():
+            part = table.filter(pa.array(some))
+            texts = np.frombuffer(b"".join(part.column("context").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+            packed = part.column("at").to_numpy()
+            begin = (packed >> 32) - reach + np.where(sides[some] == 2, reach - reach // 2, 0)
+            starts = begin[:, None] + np.arange(texts.shape[1] - length + 1)[None, :]
+            yield part, texts, starts, (starts >= 0) & (starts <= (packed & 0xFFFFFFFF)[:, None])
+
+
+def _of_several(table: pa.Table) -> pa.Table:
+    """The rows of keys that several documents have, of a table sorted by key."""
+    keys, doc = table.column("key").to_numpy(), table.column("doc").to_numpy()
+    new = np.r_[True, keys[1:] != keys[:-1]]
+    starts = np.flatnonzero(new)
+    several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
+    return table.filter(pa.array(several[np.cumsum(new) - 1]))
 
 
 def indexed_matches(contexts: DataFrame, length: int, most: int) -> DataFrame:
@@ -287,14 +302,13 @@ def indexed_matches(contexts: DataFrame, length: int, most: int) -> DataFrame:
     contexts = contexts.repartition(shuffle_partitions(contexts.sparkSession), "key").sortWithinPartitions("key")
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(table: pa.Table) -> pa.RecordBatch:
-            texts = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-            starts, mine = _in_reach(table, length)
-            hits = long_matches(texts, table.column("doc").to_numpy(), length) & mine
-            edge = np.diff(np.pad(hits.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-            r, a = np.nonzero(edge == 1)
-            _, b = np.nonzero(edge == -1)
-            return pa.RecordBatch.from_arrays([pa.array(table.column("row").to_numpy()[r]), pa.array(starts[r, a]), pa.array(starts[r, 0] + b - 1)], ["row", "first", "last"])
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for part, texts, starts, mine in _by_width(_of_several(table), length):
+                hits = long_matches(texts, part.column("doc").to_numpy(), length) & mine
+                edge = np.diff(np.pad(hits.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+                r, a = np.nonzero(edge == 1)
+                _, b = np.nonzero(edge == -1)
+                yield pa.RecordBatch.from_arrays([pa.array(part.column("row").to_numpy()[r]), pa.array(starts[r, a]), pa.array(starts[r, 0] + b - 1)], ["row", "first", "last"])
 
         held: pa.Table | None = None
         for batch in batches:
@@ -306,10 +320,10 @@ def indexed_matches(contexts: DataFrame, length: int, most: int) -> DataFrame:
                 keys = held.column("key").to_numpy()
                 begin = int(np.searchsorted(keys, keys[-1]))
                 if begin:
-                    yield out(held.slice(0, begin))
+                    yield from out(held.slice(0, begin))
                     held = held.slice(begin)
         if held is not None and held.num_rows:
-            yield out(held)
+            yield from out(held)
 
     return contexts.mapInArrow(matched, "row long, first long, last long")
 
@@ -324,12 +338,10 @@ def counted_matches(contexts: DataFrame, length: int) -> DataFrame:
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            starts, mine = _in_reach(table, length)
-            r, a = np.nonzero(mine)
-            texts = table.column("context").to_pylist()
-            digests = [hashlib.blake2b(texts[i][k : k + length], digest_size=16).digest() for i, k in zip(r.tolist(), a.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(table.column("row").to_numpy()[r]), pa.array(table.column("doc").to_numpy()[r]), pa.array(starts[r, a]), pa.array(digests, pa.binary())], ["row", "doc", "start", "string"])
+            for part, texts, starts, mine in _by_width(pa.Table.from_batches([batch]), length):
+                r, a = np.nonzero(mine)
+                digests = [hashlib.blake2b(texts[i, k : k + length], digest_size=16).digest() for i, k in zip(r.tolist(), a.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part.column("row").to_numpy()[r]), pa.array(part.column("doc").to_numpy()[r]), pa.array(starts[r, a]), pa.array(digests, pa.binary())], ["row", "doc", "start", "string"])
 
     found = contexts.mapInArrow(strings, "row long, doc long, start long, string binary").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     salted = found.groupBy("string", "salt").agg(F.min("doc").alias("earliest"))
@@ -346,15 +358,15 @@ def partial_matches(rows: DataFrame, shared: DataFrame, length: int, suffixes: i
     """
     most = max(1, suffixes // (2 * (length - GRAM) + GRAM))
     wanted = shared.filter("not whole").select("row", "at", "anchor")
-    hot = cut(wanted.groupBy("anchor").count().filter(F.col("count") > most).select("anchor"))
+    hot = cut_table(wanted.groupBy("anchor").count().filter(F.col("count") > most).select("anchor", F.lit(True).alias("hot")))
     if hot.isEmpty():
-        return [indexed_matches(contexts_of(rows, wanted, length, False), length, most)]
-    halves = cut_table(contexts_of(rows, wanted.join(hot, "anchor", "left_semi"), length, True))
-    hotter = cut(halves.groupBy("key").count().filter(F.col("count") > most).select("key"))
-    cold = contexts_of(rows, wanted.join(hot, "anchor", "left_anti"), length, False)
+        return [indexed_matches(contexts_of(rows, wanted.withColumn("hot", F.lit(False)), length), length, most)]
+    wanted = wanted.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    contexts = cut_table(contexts_of(rows, wanted, length))
+    hotter = cut_table(contexts.filter("side > 0").groupBy("key").count().filter(F.col("count") > most).select("key"))
     if hotter.isEmpty():
-        return [indexed_matches(cold, length, most), indexed_matches(halves, length, most)]
-    return [indexed_matches(cold, length, most), indexed_matches(halves.join(hotter, "key", "left_anti"), length, most), counted_matches(halves.join(hotter, "key", "left_semi"), length)]
+        return [indexed_matches(contexts, length, most)]
+    return [indexed_matches(contexts.join(hotter, "key", "left_anti"), length, most), counted_matches(contexts.join(hotter, "key", "left_semi"), length)]
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, suffixes: int = INDEX_SUFFIXES) -> DataFrame:
