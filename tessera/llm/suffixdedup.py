@@ -185,6 +185,15 @@ def shared_anchors(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(compared, "row long, at long, anchor long, whole boolean")
 
 
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dense ranks of keys, and the order that sorts them (equal keys in any order)."""
+    order = np.argsort(key)
+    new = key[order[1:]] != key[order[:-1]]
+    rank = np.zeros(len(key), np.int64)
+    rank[order[1:]] = np.cumsum(new)
+    return rank, order
+
+
 class RunIndex:
     """A run-compressed Burrows-Wheeler transform of rows of equal width, for strings of ``length``."""
 
@@ -194,14 +203,13 @@ class RunIndex:
         n, self.stride = len(data), width + 1
         padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
         key = _eights(padded)[:n].byteswap()
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        rank, order = _ranked(key)
         span = 8
         while span < length:
             step = min(span, length - span)
             after = np.concatenate([rank[step:], np.zeros(step, np.int64)])
-            rank = np.unique(rank * np.int64(n + 1) + after, return_inverse=True)[1].astype(np.int64)
+            rank, order = _ranked(rank * np.int64(n + 1) + after)
             span += step
-        order = np.argsort(rank, kind="stable")
         self.place = np.empty(n, np.int64)
         self.place[order] = np.arange(n)
         transform = data[order - 1]  # the byte before each suffix
