@@ -4,7 +4,7 @@ Every string of ``length`` bytes holds an anchor, the GRAM-byte substring of lea
 hash among those in it, so equal strings hold equal anchors at equal places.
 Anchors are dealt by hash; those of one document only are dropped, and of each
 anchor's distinct contexts (the bytes that strings holding the anchor there can
-reach) the earliest document's goes on, all later ones being covered by it. Of equal
+reach) the earliest document's go on, all later ones being covered by it. Of equal
 contexts in one batch only the earliest document's is dealt, so a group of copies
 sends a few rows a batch.
 Where an anchor has several contexts, these are indexed together: a Burrows-Wheeler
@@ -95,15 +95,21 @@ def _concat(parts: list, kind: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def _by_context(own: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that puts equal anchors with equal contexts together, where their groups start in it, and the groups of its entries."""
+    order = np.argsort(_mix(own * _A ^ context * _C))
+    a, b = own[order], context[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def _later(own: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which entries have an earlier document's entry of equal anchor and context beside them."""
-    if not len(own):
-        return np.zeros(0, bool)
-    order = np.lexsort((doc, context, own))
-    new = np.r_[True, (own[order][1:] != own[order][:-1]) | (context[order][1:] != context[order][:-1])]
-    firsts = doc[order][np.flatnonzero(new)]
     later = np.zeros(len(own), bool)
-    later[order] = doc[order] > firsts[np.cumsum(new) - 1]
+    if len(own):
+        order, starts, group = _by_context(own, context)
+        later[order] = doc[order] > np.minimum.reduceat(doc[order], starts)[group]
     return later
 
 
@@ -148,7 +154,7 @@ def dealt_anchors(rows: DataFrame, buckets: int, length: int) -> DataFrame:
 
 def shared_anchors(dealt: DataFrame) -> DataFrame:
     """(row, at, anchor, whole): anchors of several documents; whole if an earlier document has the
-    whole context, else the context's first holder, where other contexts have the anchor too."""
+    whole context, else the places in the context's first holder, where other contexts have the anchor too."""
 
     def compared(table: pa.Table) -> pa.Table:
         parts: list[list] = [[], [], [], [], []]
@@ -159,21 +165,17 @@ def shared_anchors(dealt: DataFrame) -> DataFrame:
                 parts[k].append(np.frombuffer(raw, "<u8" if k < 2 else "<i8", n, 8 * n * k))
             parts[4].append(np.frombuffer(raw, "<u4", n, 32 * n))
         own, context, doc, row, at = (_concat(p, k) for p, k in zip(parts, ("u8", "u8", "i8", "i8", "u4"), strict=True))
-        order = np.lexsort((doc, context, own))
-        own, context, doc, row, at = own[order], context[order], doc[order], row[order], at[order]
-        n = len(own)
-        new = np.ones(n, bool)
-        new[1:] = own[1:] != own[:-1]
-        new_context = new.copy()
-        new_context[1:] |= context[1:] != context[:-1]
-        starts = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        several = (np.maximum.reduceat(doc, starts) != np.minimum.reduceat(doc, starts))[group] if n else new
-        contexts = np.add.reduceat(new_context.astype(np.int64), starts)[group] if n else new
-        firsts = np.flatnonzero(new_context)
-        first_doc = doc[firsts][np.cumsum(new_context) - 1] if n else doc
-        whole = doc > first_doc
-        chosen = several & (whole | (new_context & (contexts > 1)))
+        whole = chosen = np.zeros(len(own), bool)
+        if len(own):
+            order, starts, group = _by_context(own, context)
+            own, doc, row, at = own[order], doc[order], row[order], at[order]
+            first, last = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
+            whole = doc > first[group]
+            holders, by_anchor = _ranked(own[starts])  # of each context, the number of its anchor
+            contexts = np.bincount(holders)
+            opens = np.cumsum(contexts) - contexts
+            several = np.minimum.reduceat(first[by_anchor], opens) < np.maximum.reduceat(last[by_anchor], opens)
+            chosen = whole | (several & (contexts > 1))[holders[group]]
         found = [[row[chosen]], [at[chosen].astype(np.int64)], [np.where(whole, np.uint64(0), own)[chosen].view(np.int64)], [whole[chosen]]]
         for blob in table.column("covered").drop_null():
             raw = blob.as_buffer()
@@ -188,7 +190,8 @@ def shared_anchors(dealt: DataFrame) -> DataFrame:
 def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Dense ranks of keys, and the order that sorts them (equal keys in any order)."""
     order = np.argsort(key)
-    new = key[order[1:]] != key[order[:-1]]
+    ordered = key[order]
+    new = ordered[1:] != ordered[:-1]
     rank = np.zeros(len(key), np.int64)
     rank[order[1:]] = np.cumsum(new)
     return rank, order

@@ -108,7 +108,8 @@ def test_repeated_strings(spark, corpus, suffixes):
     tails, passage = [letters(40) for _ in range(3)], letters(70)
     often = [letters(rng.randint(0, 40)) + "the very same words, " + rng.choice(tails) + letters(5) for _ in range(80)]
     often += [letters(30) + passage[rng.randint(0, 9) :] + letters(30) for _ in range(60)]
-    df, texts, ids = table(spark, [*corpus, *often])
+    twice = letters(60) + passage[:62] + letters(60)
+    df, texts, ids = table(spark, [*corpus, *often, letters(9) + passage + letters(9), f"{twice}{twice}{twice}"])
     first = {}
     for i, t in zip(ids, texts, strict=True):
         b = (t or "").encode()
