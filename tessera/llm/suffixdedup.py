@@ -36,6 +36,7 @@ from tessera.llm.common import bounded_batches, cut_table, shuffle_partitions
 LENGTH, GRAM = 50, 16
 #: Bytes of text whose anchors a bucket gets, and suffixes of an index.
 BUCKET_BYTES, INDEX_SUFFIXES = 8 << 20, 1 << 20
+OUT_ROWS = 1 << 14  # contexts that a batch gives on at a time
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 BEFORE, AFTER = 0xFF, 0xFE  # bytes that UTF-8 doesn't have, around a text
 
@@ -263,12 +264,19 @@ def contexts_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("at", "anchor", "hot")).alias("wanted"))
     both = rows.join(wanted, "row").select("row", "doc", "text", F.col("wanted.at").alias("at"), F.col("wanted.anchor").alias("anchor"), F.col("wanted.hot").alias("hot"))
 
+    def out(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.binary())], ["key", "side", "row", "doc", "at", "context"])
+
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(2))
             whole = data.tobytes()
             columns: list[list] = [[], [], [], [], [], []]
-            for i, (row, doc, ats, keys, hots) in enumerate(zip(*[batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5)], strict=True)):
+            for i in range(batch.num_rows):
+                if len(columns[0]) >= OUT_ROWS:
+                    yield out(columns)
+                    columns = [[], [], [], [], [], []]
+                row, doc, ats, keys, hots = (batch.column(k)[i].as_py() for k in (0, 1, 3, 4, 5))
                 text = bytes([BEFORE]) * reach + whole[offsets[i] : offsets[i + 1]] + bytes([AFTER]) * reach
                 last = len(text) - 2 * reach - length
                 for at, key, hot in zip(ats, keys, hots, strict=True):
@@ -280,7 +288,7 @@ def contexts_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     for own, side, reached in dealt:
                         for column, value in zip(columns, (own, side, row, doc, at << 32 | last, reached), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.binary())], ["key", "side", "row", "doc", "at", "context"])
+            yield out(columns)
 
     return both.mapInArrow(extracted, "key long, side long, row long, doc long, at long, context binary")
 
