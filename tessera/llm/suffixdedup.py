@@ -34,7 +34,8 @@ from tessera.llm.chunks import buffers
 from tessera.llm.common import bounded_batches, cut_table, shuffle_partitions
 
 LENGTH, GRAM = 50, 16
-#: Bytes of text whose anchors a bucket gets, and suffixes of an index.
+#: Bytes of text whose anchors a bucket gets, and suffixes that one key may bring to an index; keys are
+#: indexed together up to a quarter of that.
 BUCKET_BYTES, INDEX_SUFFIXES = 8 << 20, 1 << 20
 OUT_ROWS = 1 << 14  # contexts that a batch gives on at a time
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -335,7 +336,7 @@ def indexed_matches(contexts: DataFrame, length: int, most: int) -> DataFrame:
                 continue
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows >= most:
+            if held.num_rows >= max(1, most // 4):
                 keys = held.column("key").to_numpy()
                 begin = int(np.searchsorted(keys, keys[-1]))
                 if begin:
