@@ -1,30 +1,38 @@
 """Embedding near-dedup by NN-descent.
 
 Equal vectors of a label become one node. A forest of random-hyperplane orders
-gives each node first neighbours; rounds of NN-descent then compare neighbours
-of neighbours and keep each node's nearest. A node whose list holds links only
-is saturated: its list is enlarged to the whole component that links reach,
-compared tile by tile. An audit compares a few nodes with all of their label and
-asks for more rounds if links are missing. Edges at the threshold or above stay.
+gives each node first neighbours, in as many orders as the rows of its label
+need for a pair at the threshold to stand close in one of them; rounds of
+NN-descent then compare neighbours of neighbours and keep each node's nearest.
+All links seen join their nodes' components, also those that no list has room
+for. A node whose list holds links only is saturated: its list is enlarged to
+the whole component, compared tile by tile. Fresh orders audit the links of all
+nodes: they are added until they find hardly any link that was not known. Edges
+at the threshold or above stay.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, cut, ranked, shuffle_partitions
 from tessera.llm.components import components
 from tessera.llm.vectors import dimension, matrix, unit, usable
 
-#: Orders of the first graph, nodes compared at a time in each, neighbours kept, reverse neighbours a round looks at.
-TREES, LEAF, NEIGHBOURS, REVERSE = 12, 64, 12, 6
-#: Nodes audited, the recall asked for, rounds at least and at most; nodes of a tile.
-AUDITED, RECALL, ROUNDS, MORE_ROUNDS, TILE = 200, 0.995, 1, 4, 512
+#: Places that a node looks to either side in an order, neighbours kept, those of one order, reverse neighbours a round looks at.
+REACH, NEIGHBOURS, FIRST, REVERSE = 128, 12, 6, 6
+#: The share of pairs at the threshold that the first orders may leave apart; orders at least.
+APART, LEAST_ORDERS = 1e-4, 4
+#: The share of a fresh batch's links that must have been known; rounds of NN-descent; nodes of a tile.
+RECALL, ROUNDS, TILE = 0.999, 1, 512
+#: What stands for the score where an edge says only that links join its nodes.
+JOINED = 9.0
 EDGES = "u long, v long, s double"
 
 
@@ -57,78 +65,126 @@ def _bounds(table: pa.Table, keys: int) -> np.ndarray:
     return np.append(np.flatnonzero(change), table.num_rows)
 
 
-def _best_pairs(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each node's ``most`` nearest among the given."""
-    s = x @ x.T
-    np.fill_diagonal(s, -2.0)
-    k = min(most, len(ids) - 1)
-    near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(ids) - 1 else np.argsort(-s, axis=1)[:, :k]
-    return np.repeat(ids, k), ids[near.ravel()], np.take_along_axis(s, near, axis=1).ravel()
-
-
-def _batch(u: list, v: list, s: list) -> pa.RecordBatch:
-    flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
-    return pa.RecordBatch.from_arrays([flat(u, pa.int64()), flat(v, pa.int64()), flat(s, pa.float64())], ["u", "v", "s"])
-
-
-def _nearest(edges: DataFrame, most: int) -> DataFrame:
-    one = edges.filter("u != v").groupBy("u", "v").agg(F.max("s").alias("s"))
-    nth = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
-    return one.withColumn("_n", nth).filter(F.col("_n") <= most).drop("_n")
-
-
-def first_graph(nodes: DataFrame, width: int, trees: int = TREES, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """Neighbours from ``trees`` orders: in each, nodes of a label stand by the signs of 32 random hyperplanes and LEAF that follow one another are compared."""
+def _found(ids: np.ndarray, x: np.ndarray, rows: slice, among: slice, most: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each of ``rows`` the ``most`` nearest in ``among`` and links up to NEIGHBOURS; for all links there, edges to the smallest node that they join."""
+    mine, others = ids[rows], ids[among]
+    s = x[rows] @ x[among].T
+    s[np.arange(len(mine)), np.arange(len(mine)) + rows.start - among.start] = -2.0
+    k = min(NEIGHBOURS, len(others) - 1)
+    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    score = np.take_along_axis(s, near, axis=1)
+    order = np.argsort(-score, axis=1)
+    near, score = np.take_along_axis(near, order, axis=1), np.take_along_axis(score, order, axis=1)
+    keep = (np.arange(k) < most) | (score >= threshold)
+    u, v, score = np.repeat(mine, k)[keep.ravel()], others[near[keep]], score[keep]
+    linked = s >= threshold
+    if not linked.any():
+        return u, v, score
+    left, right = linked.any(axis=1), linked.any(axis=0)
+    linked, mine, others = linked[left][:, right], mine[left], others[right]
+    none = np.iinfo(np.int64).max
+    own, before = mine.copy(), None
+    while before is None or (own != before).any():
+        before = own
+        least = np.minimum(others, np.where(linked, own[:, None], none).min(axis=0))
+        own = np.minimum(own, np.where(linked, least[None, :], none).min(axis=1))
+    a, b = np.concatenate([mine, others]), np.concatenate([own, least])
+    a, b = a[a != b], b[a != b]
+    return np.concatenate([u, a]), np.concatenate([v, b]), np.concatenate([score, np.full(len(a), JOINED)])
+
+
+def _batch(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    flat = lambda c, kind: pa.array(np.concatenate([p[c] for p in parts]) if parts else [], kind)
+    return pa.RecordBatch.from_arrays([flat(0, pa.int64()), flat(1, pa.int64()), flat(2, pa.float64())], ["u", "v", "s"])
+
+
+def _nearest(edges: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
+    """Each node's ``most`` nearest, and all edges that say what links join."""
+    one = edges.filter("u != v").groupBy("u", "v", (F.col("s") == JOINED).alias("_j")).agg(F.max("s").alias("s"))
+    nth = F.row_number().over(Window.partitionBy("u", "_j").orderBy(F.desc("s"), "v"))
+    return one.withColumn("_n", nth).filter(F.col("_j") | (F.col("_n") <= most)).select("u", "v", "s")
+
+
+def orders(rows: Column, threshold: float) -> Column:
+    """Orders for a label of so many nodes: two vectors at the threshold have equal signs for a hyperplane with
+    probability 1 - angle / pi, and stand within REACH of each other where they have as many equal signs as halve the label to REACH."""
+    same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    together = F.pow(F.lit(same), F.log2(F.greatest(rows / REACH, F.lit(1.0))))
+    wanted = F.when(together < 1, F.ceil(F.lit(math.log(APART)) / F.log(1 - together)))
+    return F.greatest(F.coalesce(wanted, F.lit(0)), F.lit(LEAST_ORDERS)).cast("int")
+
+
+def in_orders(nodes: DataFrame, width: int, threshold: float, batch: int = 0) -> DataFrame:
+    """Edges of ``nodes`` (id, label, x, orders) from as many orders as each has: nodes of a label stand by the signs of 32 random hyperplanes, of other ones for each ``batch``, and each is compared with those up to REACH places away at least."""
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(3).standard_normal((trees, width, 32))
-        for batch in batches:
-            x = matrix(batch.column(2), width)
-            for t in range(trees):
-                bits = np.packbits(x @ planes[t] >= 0, axis=1).view(">u4").ravel().astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.full(len(x), t)), pa.array(bits), batch.column(0), batch.column(2)], ["label", "tree", "code", "id", "x"])
-
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            x, wanted = matrix(rows.column(2), width), rows.column(3).to_numpy()
+            for t in range(int(wanted.max(initial=0))):
+                planes = np.random.default_rng([3, batch, t]).standard_normal((width, 32))
+                bits = np.packbits(x @ planes >= 0, axis=1).view(">u4").ravel().astype(np.int64)
+                every = pa.RecordBatch.from_arrays([rows.column(1), pa.array(np.full(len(x), t)), pa.array(bits), rows.column(0), rows.column(2)], ["label", "tree", "code", "id", "x"])
+                yield every.filter(pa.array(wanted > t))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 2):
             ids, x = table.column(3).to_numpy(), unit(matrix(table.column(4), width))
-            u, v, s = [], [], []
             bounds = _bounds(table, 2)
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                for at in range(a, b, LEAF):
-                    at = max(a, min(at, b - LEAF))
-                    if min(at + LEAF, b) - at > 1:
-                        got = _best_pairs(ids[at : min(at + LEAF, b)], x[at : min(at + LEAF, b)], neighbours // 2)
-                        for part, one in zip((u, v, s), got, strict=True):
-                            part.append(one)
-            yield _batch(u, v, s)
-
-    keyed = nodes.select("id", F.col("label").cast("long").alias("label"), "x").mapInArrow(ordered, "label long, tree long, code long, id long, x array<float>")
+            parts = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                for at in range(a, b, REACH) if b - a > 1 else ():
+                    parts.append(_found(ids, x, slice(at, min(at + REACH, b)), slice(max(a, at - REACH), min(at + 2 * REACH, b)), FIRST, threshold))
+                    if len(parts) >= 64:
+                        yield _batch(parts)
+                        parts = []
+            yield _batch(parts)
+
+    keyed = nodes.select("id", "label", "x", "orders").mapInArrow(ordered, "label long, tree long, code long, id long, x array<float>")
     keys = ["label", "tree", "code", "id"]
     spread = keyed.repartitionByRange(shuffle_partitions(nodes.sparkSession), *keys).sortWithinPartitions(*keys)
-    return cut(_nearest(spread.mapInArrow(leaves, EDGES), neighbours))
+    return cut(_nearest(spread.mapInArrow(compared, EDGES)))
 
 
-def descend(nodes: DataFrame, graph: DataFrame, width: int, neighbours: int = NEIGHBOURS, reverse: int = REVERSE) -> DataFrame:
+def descend(nodes: DataFrame, graph: DataFrame, width: int, threshold: float, reverse: int = REVERSE) -> DataFrame:
     """One round: the neighbours of each node, and some nodes of which it is one, are compared with each other."""
-    back = graph.select(F.col("v").alias("w"), F.col("u").alias("a"))
+    lists = graph.filter(F.col("s") != JOINED)
+    back = lists.select(F.col("v").alias("w"), F.col("u").alias("a"))
     nth = F.row_number().over(Window.partitionBy("w").orderBy(F.xxhash64("a", "w")))
     back = back.withColumn("_n", nth).filter(F.col("_n") <= reverse).drop("_n")
-    around = graph.select(F.col("u").alias("w"), F.col("v").alias("a")).unionAll(back).distinct()
+    around = lists.select(F.col("u").alias("w"), F.col("v").alias("a")).unionAll(back).distinct()
     around = around.join(nodes.select(F.col("id").alias("a"), "x"), "a").select("w", "a", "x")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 1):
             ids, x = table.column(1).to_numpy(), unit(matrix(table.column(2), width))
-            u, v, s = [], [], []
             bounds = _bounds(table, 1)
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a > 1:
-                    for part, one in zip((u, v, s), _best_pairs(ids[a:b], x[a:b], 4), strict=True):
-                        part.append(one)
-            yield _batch(u, v, s)
+            every = [slice(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if b - a > 1]
+            yield _batch([_found(ids, x, one, one, 4, threshold) for one in every])
 
     found = around.repartition(shuffle_partitions(nodes.sparkSession), "w").sortWithinPartitions("w", "a").mapInArrow(compared, EDGES)
-    return cut(_nearest(graph.unionAll(found), neighbours))
+    return cut(_nearest(graph.unionAll(found)))
+
+
+def linked(graph: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(u, v) of each link listed, both ways round; (node, root) of all that links join; the roots with a saturated node."""
+    near = graph.filter((F.col("s") >= threshold) & (F.col("s") != JOINED))
+    both = cut(near.select("u", "v").unionAll(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    joined = graph.filter(F.col("s") == JOINED).select("u", "v")
+    roots = components(both.unionAll(joined).select(F.col("u").alias("a"), F.col("v").alias("b")))
+    full = near.groupBy("u").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= NEIGHBOURS).select("u")
+    return both, roots, cut(full.join(roots, F.col("u") == F.col("node")).select("root").distinct())
+
+
+def unknown(fresh: DataFrame, both: DataFrame, roots: DataFrame, wide: DataFrame, threshold: float) -> tuple[int, int]:
+    """How many links ``fresh`` orders list, and how many of them are neither listed in ``both`` nor inside a component that is compared whole."""
+    found = fresh.filter((F.col("s") >= threshold) & (F.col("s") != JOINED)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    known = both.withColumn("_known", F.lit(1))
+    whole = roots.join(wide, "root").select("node", "root")
+    out = found.join(known, ["u", "v"], "left")
+    out = out.join(whole.select(F.col("node").alias("u"), F.col("root").alias("_a")), "u", "left").join(whole.select(F.col("node").alias("v"), F.col("root").alias("_b")), "v", "left")
+    lost = F.col("_known").isNull() & ~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))
+    row = out.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(lost.cast("long")), F.lit(0)).alias("lost")).first()
+    return row["n"], row["lost"]
 
 
 def tiles(members: DataFrame, rows: int, width: int, threshold: float) -> DataFrame:
@@ -163,28 +219,6 @@ def tiles(members: DataFrame, rows: int, width: int, threshold: float) -> DataFr
     return dealt.mapInArrow(compared, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, graph: DataFrame, width: int, threshold: float, audited: int = AUDITED) -> float:
-    """The share of the links of up to ``audited`` nodes, by hash of their id, that ``graph`` or a saturated list accounts for."""
-    some = nodes.orderBy(F.xxhash64("id")).limit(audited).select("id", "label", "x").toArrow()
-    if not some.num_rows:
-        return 1.0
-    ids, labels, x = some.column(0).to_numpy(), some.column(1).to_numpy(), unit(matrix(some.column(2), width))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            other, label = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            linked = (x @ unit(matrix(batch.column(2), width)).T >= threshold) & (labels[:, None] == label[None, :]) & (ids[:, None] != other[None, :])
-            a, b = np.nonzero(linked)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(other[b])], ["u", "v"])
-
-    true = nodes.select("id", "label", "x").mapInArrow(counted, "u long, v long")
-    got = graph.filter(F.col("s") >= threshold)
-    known = got.select("u", "v").unionAll(got.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().withColumn("_known", F.lit(1))
-    full = got.groupBy("u").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= NEIGHBOURS).select("u", F.lit(1).alias("_full"))
-    row = true.join(known, ["u", "v"], "left").join(full, "u", "left").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("_known", "_full", F.lit(0))).alias("k")).first()
-    return (row["k"] or 0) / row["n"] if row["n"] else 1.0
-
-
 def near_duplicates(table: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``table``.
 
@@ -204,16 +238,22 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, key: str = "vec_i
     count = nodes.count()
     if not count:
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    graph = first_graph(nodes, width)
-    done = 0
-    while done < ROUNDS or (done < MORE_ROUNDS and audit(nodes, graph, width, threshold) < RECALL):
-        graph = descend(nodes, graph, width)
-        done += 1
-    near = graph.filter(F.col("s") >= threshold)
-    both = cut(near.select("u", "v").unionAll(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    roots = components(both.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    full = near.groupBy("u").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= NEIGHBOURS).select("u")
-    wide = full.join(roots, F.col("u") == F.col("node")).select("root").distinct()
+    sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("_rows"))
+    nodes = cut(nodes.join(sizes, "label").withColumn("orders", orders(F.col("_rows"), threshold)).drop("_rows"))
+    graph = in_orders(nodes, width, threshold)
+    for _ in range(ROUNDS):
+        graph = descend(nodes, graph, width, threshold)
+    some = nodes.withColumn("orders", F.ceil(F.col("orders") / 2).cast("int"))
+    batch, met = 0, False
+    both, roots, wide = linked(graph, threshold)
+    while not met:
+        batch += 1
+        fresh = in_orders(some, width, threshold, batch)
+        links, lost = unknown(fresh, both, roots, wide, threshold)
+        met = lost <= (1 - RECALL) * links
+        if lost:
+            graph = cut(_nearest(graph.unionAll(fresh)))
+            both, roots, wide = linked(graph, threshold)
     members = cut(roots.join(wide, "root").join(nodes, F.col("node") == F.col("id")).select("root", "id", "n", "x"))
     tiled = tiles(members, max(1, members.count()), width, threshold)
     listed = both.join(nodes.select(F.col("id").alias("v"), "n"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("listed"))
