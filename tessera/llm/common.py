@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +66,20 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """row (all columns of ``docs``, whatever their names), id (0 for null), and a and b, 128 bits of text and of whether the id is null."""
+    text, key = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    return docs.select(F.struct("*").alias("row"), key.alias("doc_id"), text.alias("text"), F.coalesce(key, F.lit(0)).alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(key.isNull(), text).alias("b"))
+
+
+def one_of_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row of ``docs``, as it was, for each of ``wanted`` (id, a, b as by ``named``); of equal ones that of the least hash of all columns."""
+    own = named(docs).select("row", "id", "a", "b").join(wanted.select("id", "a", "b").distinct(), ["id", "a", "b"], "left_semi")
+    comparable = [F.col("row").getField(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    nth = F.row_number().over(Window.partitionBy("id", "a", "b").orderBy(F.xxhash64(*comparable)))
+    return own.withColumn("nth", nth).filter("nth = 1").select("row.*")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -100,3 +117,33 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], rows: int, name: st
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return numbered.join(sizes, match).withColumn(name, F.col("_inside") + F.col("_before")).drop("_chunk", "_inside", "_before", "_c", *[f"_k_{k}" for k in keys])
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows with equal first ``keys`` columns of sorted batches, as many whole runs at a time as come together."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        last = np.ones(table.num_rows, bool)
+        for c in range(keys):
+            values = table.column(c).to_numpy()
+            last &= values == values[-1]
+        begin = table.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
+        if begin:
+            yield table.slice(0, begin)
+        held = table.slice(begin)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def bounds(table: pa.Table, keys: int) -> np.ndarray:
+    """Where runs of rows with equal first ``keys`` columns begin, and the end."""
+    change = np.zeros(table.num_rows, bool)
+    change[0] = True
+    for c in range(keys):
+        values = table.column(c).to_numpy()
+        change[1:] |= values[1:] != values[:-1]
+    return np.append(np.flatnonzero(change), table.num_rows)

@@ -29,7 +29,7 @@ def _lines(text: Column) -> Column:
 
 def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(_doc, _text, pos) of the lines to drop; _doc and _text name a row of ``docs`` as in ``keep_bitmaps``."""
-    rows = docs.select(_doc(F.col("doc_id")).alias("_doc"), F.xxhash64("text").alias("_text"), F.posexplode(_lines(F.col("text"))).alias("pos", "_line"))
+    rows = docs.select(_doc(F.col("doc_id")).alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_text"), F.posexplode(_lines(F.col("text").cast("string"))).alias("pos", "_line"))
     rows = rows.withColumn("_key", line_key(F.col("_line"))).filter(F.length("_key") >= min_chars)
     rows = cut(rows.select(F.xxhash64("_key").alias("_a"), F.xxhash64(F.lit(1), F.col("_key")).alias("_b"), "_doc", "_text", "pos"))
     held = rows.groupBy("_a", "_b", "_doc").agg(F.lit(1).alias("_one")).groupBy("_a", "_b").agg(F.count("_one").alias("_docs"), F.max("_doc").alias("_last"))
@@ -63,31 +63,37 @@ def runs(dropped: Column, n_lines: Column) -> Column:
     return F.filter(between, lambda r: r["n"] > 0)
 
 
+def _deduped(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """row (all columns of ``docs``, whatever their names), doc_id, text, n_lines, n_dropped, keep, kept."""
+    found = keep_bitmaps(docs, min_chars, min_docs)
+    text = F.col("text").cast("string")
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), text.alias("text"), _doc(F.col("doc_id")).alias("_doc"), F.xxhash64(text).alias("_text"))
+    both = own.join(found, ["_doc", "_text"], "left")
+    lines = _lines(F.col("text"))
+    both = both.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size("dropped"), F.lit(0)).cast("long"))
+    both = both.withColumn("keep", F.when(F.col("dropped").isNull(), F.array(F.struct(F.lit(0).alias("first"), F.col("n_lines").cast("int").alias("n")))).otherwise(runs(F.col("dropped"), F.col("n_lines"))))
+    joined = F.array_join(F.flatten(F.transform(F.col("keep"), lambda r: F.slice(lines, r["first"] + 1, r["n"]))), "\n")
+    return both.withColumn("kept", F.when(F.col("n_dropped") == 0, F.coalesce(F.col("text"), F.lit(""))).otherwise(joined))
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """``docs`` with n_lines, n_dropped, keep (the bitmap) and kept, the text without the lines it loses.
+    """doc_id, n_lines, n_dropped, keep (the bitmap) and kept, the text without the lines it loses, of every row of ``docs``.
 
     Lines are what ``\\n`` separates; their keys are stripped of ASCII white space
     and lower-cased in A-Z. A key of ``min_chars`` code points or more that
     ``min_docs`` documents or more hold keeps its lines only in the largest doc_id
     holding it. A null or empty text is one empty line; null ids count as one
-    document, the smallest; equal rows lose equal lines; an empty table gives no
-    rows; other columns stay, whatever their names.
+    document, the smallest; equal rows, and rows of equal id, lose equal lines; a
+    text is split whole, in the memory of one row; an empty table gives no rows;
+    other columns are ignored.
     """
-    names = docs.columns
-    found = keep_bitmaps(docs, min_chars, min_docs).withColumnsRenamed({"_doc": "_line_doc", "_text": "_line_text", "dropped": "_line_dropped"})
-    own = docs.select("*", _doc(F.col("doc_id")).alias("_line_id"), F.xxhash64("text").alias("_line_hash"))
-    both = own.join(found, (F.col("_line_id") == F.col("_line_doc")) & (F.col("_line_hash") == F.col("_line_text")), "left")
-    lines = _lines(F.col("text"))
-    both = both.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size("_line_dropped"), F.lit(0)).cast("long"))
-    both = both.withColumn("keep", F.when(F.col("_line_dropped").isNull(), F.array(F.struct(F.lit(0).alias("first"), F.col("n_lines").cast("int").alias("n")))).otherwise(runs(F.col("_line_dropped"), F.col("n_lines"))))
-    joined = F.array_join(F.flatten(F.transform(F.col("keep"), lambda r: F.slice(lines, r["first"] + 1, r["n"]))), "\n")
-    both = both.withColumn("kept", F.when(F.col("n_dropped") == 0, F.coalesce(F.col("text"), F.lit(""))).otherwise(joined))
-    return both.select(*[F.col(n) for n in names if n not in ("n_lines", "n_dropped", "keep", "kept")], "n_lines", "n_dropped", "keep", "kept")
+    return _deduped(docs, min_chars, min_docs).select("doc_id", "n_lines", "n_dropped", "keep", "kept")
 
 
 def apply(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """``docs``, its columns as they were, with the kept lines as text (n_chars counted anew)."""
-    out = dedup_lines(docs, min_chars, min_docs).withColumn("text", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    """``docs``, its columns as they were, whatever their names, with the kept lines as text (n_chars counted anew where lines went)."""
+    out = _deduped(docs, min_chars, min_docs)
+    fresh = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    fresh = {n: column.cast(docs.schema[n].dataType) for n, column in fresh.items() if n in docs.columns}
+    own = lambda n: F.col("row").getField(n)
+    return out.select(*[(F.when(F.col("n_dropped") == 0, own(n)).otherwise(fresh[n]) if n in fresh else own(n)).alias(n) for n in docs.columns])

@@ -2,7 +2,7 @@
 
 Each source's documents, laid end to end as words, are packed into blocks of a
 fixed length. The mix is a row of slots dealt to output shards: a pseudorandom
-permutation of all slots gives every shard its multinomial source counts,
+permutation of all slots draws every shard's source counts as a multinomial does,
 conditioned on the totals, so that the mix meets each target exactly. The k-th
 slot of a source reads, in its k // blocks-th pass over the source, the block
 that a pseudorandom permutation of that source and pass assigns to k % blocks.
@@ -71,8 +71,8 @@ def laid_out(docs: DataFrame) -> DataFrame:
     window sees a whole source. The table is written once, so that all that
     follows, reruns included, sees the same places.
     """
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source(F.col("source")).alias("_source"), size.alias("size"), F.xxhash64("text").alias("_hash")))
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source(F.col("source")).alias("_source"), size.alias("size"), F.xxhash64(F.col("text").cast("string")).alias("_hash")))
     n = rows.count()
     chunks = max(1, -(-n // chunk_rows(n)))
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_source", "_hash").orderBy("size")))
@@ -130,11 +130,18 @@ def slots(plan: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, s
     return out.select("_source", F.floor(F.col("_place") / shard_slots).alias("shard"), F.pmod("_place", F.lit(shard_slots)).alias("slot"), "_turn", "_block", "_words")
 
 
+def shard_counts(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 7) -> DataFrame:
+    """(shard, source, n_slots, n_words): how much of each source each output shard of the mix holds; an empty table gives no rows."""
+    plan = source_plan(laid_out(docs), weights, share, cap, seed=seed)
+    source = F.when(F.col("_source").startswith("s"), F.substring("_source", 2, 2**31 - 1))
+    return slots(plan, seed=seed).groupBy("shard", source.alias("source")).agg(F.count(F.lit(1)).alias("n_slots"), F.sum("_words").alias("n_words"))
+
+
 def pieces(placed: DataFrame, taken: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Join documents with slots by block: each document's row once per piece read (at: its first word there, words), or once with nulls."""
+    """Join documents that have words with slots by block: each document's row once per piece read (at: its first word there, words), or once with nulls."""
     last = F.floor((F.col("_start") + F.col("size") - 1) / block)
-    blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("_start") / block).cast("long"), last.cast("long"))).otherwise(F.array(F.lit(-1).cast("long")))
-    parts = placed.withColumn("_block", F.explode(blocks))
+    blocks = F.sequence(F.floor(F.col("_start") / block).cast("long"), last.cast("long"))
+    parts = placed.filter("size > 0").withColumn("_block", F.explode(blocks))
     joined = parts.join(taken.select("_source", "_block", "_words", "_turn", "shard", "slot").hint("merge"), ["_source", "_block"], "left")
     begin = F.greatest(F.col("_start"), F.col("_block") * block)
     end = F.least(F.col("_start") + F.col("size"), F.col("_block") * block + F.col("_words"))
@@ -148,36 +155,48 @@ def _by_source(rows: DataFrame, plan: DataFrame, sources: int, columns: list[str
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 7) -> DataFrame:
-    """What the mix takes of each row of ``docs`` (doc_id, text, source): size, source_size, target, taken.
+    """What the mix takes of each row of ``docs`` (doc_id, text, source): size, source_size, target, taken and reads.
 
-    A null text has size 0; a null source is a source of its own, last in order;
-    repeated rows are rows like others, of which each has its own place; null ids
-    are kept; an empty table gives no rows. Other columns are ignored.
+    ``reads`` tells, by output shard and slot, how many words that slot reads of
+    the row. A null text has size 0; a null source is a source of its own, last in
+    order; repeated rows are rows like others, of which each has its own place;
+    null ids are kept; words are counted in the whole text; an empty table gives
+    no rows. Other columns are ignored.
     """
     placed = laid_out(docs)
     plan = source_plan(placed, weights, share, cap, seed=seed)
-    got = pieces(placed, slots(plan, seed=seed)).groupBy("_source", "_start", "size", "doc_id", "_hash", "_copy").agg(F.sum("words").alias("taken"))
-    return _by_source(got, plan, plan.count(), ["source_size", "target"]).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    read = F.when(F.col("words") > 0, F.struct("shard", "slot", "words"))
+    got = pieces(placed, slots(plan, seed=seed)).groupBy("_source", "_start", "size", "doc_id", "_hash", "_copy")
+    got = got.agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(read)).alias("reads")).select("doc_id", "_source", "size", "taken", "reads")
+    none = placed.filter("size = 0").select("doc_id", "_source", "size", F.lit(0).cast("long").alias("taken"), F.array().cast(got.schema["reads"].dataType).alias("reads"))
+    every = _by_source(got.unionByName(none), plan, plan.count(), ["source_size", "target"])
+    return every.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "reads")
 
 
 def mixed_texts(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 7) -> DataFrame:
     """The mix itself: one row per document and pass over its source, with the words taken, in the columns of ``docs``.
 
-    A word carries the white space after it. A row all of whose words are taken
-    keeps its text as it is; n_chars, where there is one, is counted anew.
+    Rows stand in order of the output shard and slot that read them first. A word
+    carries the white space after it. A row all of whose words are taken keeps its
+    text as it is; n_chars, where there is one, is counted anew for the others.
+    Documents without words (null texts too) and those of which no word is taken
+    have no row; other columns stay, whatever their names; null and repeated ids
+    and equal rows are rows like others; an empty table gives no rows.
     """
     placed = laid_out(docs)
     plan = source_plan(placed, weights, share, cap, seed=seed)
-    read = pieces(placed, slots(plan, seed=seed)).filter("words > 0")
-    read = read.groupBy("doc_id", "_source", "_hash", "_copy", "size", "_turn").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("_pieces"), F.sum("words").alias("_taken"))
-    names = docs.columns
-    own = docs.select(*names, F.col("doc_id").cast("long").alias("_id"), _source(F.col("source")).alias("_s"), F.xxhash64("text").alias("_h"))
-    own = own.withColumn("_c", F.row_number().over(Window.partitionBy("_id", "_s", "_h").orderBy(F.lit(1))))
-    read = read.select(F.col("doc_id").alias("_i"), "_source", "_hash", "_copy", "size", "_pieces", "_taken")
+    read = pieces(placed, slots(plan, seed=seed)).filter("words > 0").groupBy("doc_id", "_source", "_hash", "_copy", "size", "_turn")
+    read = read.agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("_pieces"), F.sum("words").alias("_taken"), F.min(F.struct("shard", "slot")).alias("_place"))
+    read = read.select(F.col("doc_id").alias("_i"), "_source", "_hash", "_copy", "size", "_pieces", "_taken", "_place")
+    text = F.col("text").cast("string")
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), _source(F.col("source")).alias("_s"), F.xxhash64(text).alias("_h"), text.alias("text"))
+    comparable = [F.col("row").getField(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    own = own.withColumn("_c", F.row_number().over(Window.partitionBy("_id", "_s", "_h").orderBy(F.xxhash64(*comparable))))
     both = own.join(read, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_s") == F.col("_source")) & (F.col("_h") == F.col("_hash")) & (F.col("_c") == F.col("_copy")))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     some = F.array_join(F.flatten(F.transform(F.col("_pieces"), lambda p: F.slice(words, (p["at"] + 1).cast("int"), p["words"].cast("int")))), "")
-    both = both.withColumn("text", F.when(F.col("_taken") == F.col("size"), F.col("text")).otherwise(some))
-    if "n_chars" in names:
-        both = both.withColumn("n_chars", F.length("text").cast("long"))
-    return both.select(*names)
+    both = both.withColumn("_new", F.when(F.col("_taken") < F.col("size"), some))
+    both = both.repartitionByRange(shuffle_partitions(docs.sparkSession), "_place").sortWithinPartitions("_place")
+    fresh = {"text": F.col("_new"), "n_chars": F.length("_new")}
+    own = lambda n: F.col("row").getField(n)
+    return both.select(*[(F.when(F.col("_new").isNull(), own(n)).otherwise(fresh[n].cast(docs.schema[n].dataType)) if n in fresh else own(n)).alias(n) for n in docs.columns])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, cut, ranked, shuffle_partitions
+from tessera.llm.common import bounded_batches, bounds, cut, groups, ranked, shuffle_partitions
 from tessera.llm.components import components
 from tessera.llm.vectors import dimension, matrix, unit, usable
 
@@ -36,35 +36,6 @@ JOINED = 9.0
 EDGES = "u long, v long, s double"
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Runs of rows with equal first ``keys`` columns of sorted batches, as many whole runs at a time as come together."""
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = table if held is None else pa.concat_tables([held, table])
-        last = np.ones(table.num_rows, bool)
-        for c in range(keys):
-            values = table.column(c).to_numpy()
-            last &= values == values[-1]
-        begin = table.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
-        if begin:
-            yield table.slice(0, begin)
-        held = table.slice(begin)
-    if held is not None and held.num_rows:
-        yield held
-
-
-def _bounds(table: pa.Table, keys: int) -> np.ndarray:
-    change = np.zeros(table.num_rows, bool)
-    change[0] = True
-    for c in range(keys):
-        values = table.column(c).to_numpy()
-        change[1:] |= values[1:] != values[:-1]
-    return np.append(np.flatnonzero(change), table.num_rows)
-
-
 def _found(ids: np.ndarray, x: np.ndarray, rows: slice, among: slice, most: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each of ``rows`` the ``most`` nearest in ``among`` and links up to NEIGHBOURS; for all links there, edges to the smallest node that they join."""
     mine, others = ids[rows], ids[among]
@@ -127,11 +98,11 @@ def in_orders(nodes: DataFrame, width: int, threshold: float, batch: int = 0) ->
                 yield every.filter(pa.array(wanted > t))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 2):
+        for table in groups(batches, 2):
             ids, x = table.column(3).to_numpy(), unit(matrix(table.column(4), width))
-            bounds = _bounds(table, 2)
+            edges = bounds(table, 2)
             parts = []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 for at in range(a, b, REACH) if b - a > 1 else ():
                     parts.append(_found(ids, x, slice(at, min(at + REACH, b)), slice(max(a, at - REACH), min(at + 2 * REACH, b)), FIRST, threshold))
                     if len(parts) >= 64:
@@ -155,10 +126,10 @@ def descend(nodes: DataFrame, graph: DataFrame, width: int, threshold: float, re
     around = around.join(nodes.select(F.col("id").alias("a"), "x"), "a").select("w", "a", "x")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 1):
+        for table in groups(batches, 1):
             ids, x = table.column(1).to_numpy(), unit(matrix(table.column(2), width))
-            bounds = _bounds(table, 1)
-            every = [slice(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if b - a > 1]
+            edges = bounds(table, 1)
+            every = [slice(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b - a > 1]
             yield _batch([_found(ids, x, one, one, 4, threshold) for one in every])
 
     found = around.repartition(shuffle_partitions(nodes.sparkSession), "w").sortWithinPartitions("w", "a").mapInArrow(compared, EDGES)
@@ -196,12 +167,12 @@ def tiles(members: DataFrame, rows: int, width: int, threshold: float) -> DataFr
     every = every.select("root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "n", "x")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 3):
-            bounds = _bounds(table, 3)
+        for table in groups(batches, 3):
+            edges = bounds(table, 3)
             i, j, tile, ids, n = (table.column(c).to_numpy() for c in range(1, 6))
             x = unit(matrix(table.column(6), width))
             out_ids, out_links = [], []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
                 here = np.arange(a, b)
                 left, right = here[tile[a:b] == i[a]], here[tile[a:b] == j[a]]
                 linked = x[left] @ x[right].T >= threshold

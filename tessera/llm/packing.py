@@ -122,10 +122,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             columns = [pa.array(c, pa.int64()) for c in rows[:5]]
             if with_ids:
-                names, columns = [*names, "ids"], [*columns, pa.array(rows[5], pa.list_(pa.int64()))]
+                names, columns = [*names, "ids"], [*columns, pa.array(rows[5], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, PIECES + ", ids array<long>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, PIECES + ", ids array<int>" * with_ids)
 
 
 def best_fill(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, cut
+from tessera.llm.common import bounded_batches, cut, named, one_of_each
 from tessera.llm.components import attach, components
 
 SHINGLE, DISTANCE, SEGMENT_BITS, SEED = 4, 4, 2, 42
@@ -41,15 +41,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, id, a, b (as by ``common.named``) and fp (the fingerprint as a signed long) of every row."""
     bounded_batches(docs.sparkSession)
+    marks = ["doc_id", "id", "a", "b"]
 
     def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(4)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(fps.view(np.int64))], [*marks, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(fingerprinted, "doc_id long, fp long")
+    return named(docs).select(*marks, "text").mapInArrow(fingerprinted, "doc_id long, id long, a long, b long, fp long")
 
 
 def embedding(half: np.ndarray, segment_bits: int) -> np.ndarray:
@@ -122,6 +123,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, segment_bits: int = SEG
     """(a, b): links that connect all of ``distinct`` (fp) that chains of links connect."""
     if not 0 <= distance <= 5:
         raise ValueError("grid points within 1 serve distances up to 5")
+    if segment_bits not in (1, 2, 4):
+        raise ValueError("segments of 1, 2 or 4 bits fill a half evenly")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,50 +135,67 @@ def links(distinct: DataFrame, distance: int = DISTANCE, segment_bits: int = SEG
                 yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(part[owners].view(np.int64))], ["cell", "fp"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_cells, held_fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held, most = 0, 100_000
 
         def out(cells: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
             a, b = linked_in_cells(cells, fps, distance)
             pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy().view(np.int64)), pa.array(pairs[:, 1].copy().view(np.int64))], ["a", "b"])
 
-        for batch in batches:
-            cells = np.concatenate([held_cells, batch.column(0).to_numpy()])
-            fps = np.concatenate([held_fps, batch.column(1).to_numpy().view(np.uint64)])
-            last = int(np.searchsorted(cells, cells[-1])) if len(cells) else 0
-            if last >= 100_000:
-                yield out(cells[:last], fps[:last])
-                cells, fps = cells[last:], fps[last:]
-            held_cells, held_fps = cells, fps
-        yield out(held_cells, held_fps)
+        for batch in batches:  # joined as seldom as doubles what is held, so that a large cell is copied few times
+            parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
+            held += batch.num_rows
+            if held >= most:
+                cells, fps = (np.concatenate(x) for x in zip(*parts, strict=True))
+                last = int(np.searchsorted(cells, cells[-1]))
+                if last:
+                    yield out(cells[:last], fps[:last])
+                    cells, fps = cells[last:].copy(), fps[last:].copy()
+                parts, held = [(cells, fps)], len(cells)
+                most = max(100_000, 2 * held)
+        if held:
+            yield out(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     spread_out = distinct.select("fp").mapInArrow(spread, "cell long, fp long")
     return spread_out.repartition("cell").sortWithinPartitions("cell").mapInArrow(compared, "a long, b long")
 
 
+def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, segment_bits: int = SEGMENT_BITS) -> DataFrame:
+    """doc_id, id, a, b, fp, root (a fingerprint that names the component) and component_id of every row of ``docs``."""
+    rows = cut(fingerprints(docs, shingle))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    roots = components(links(distinct, distance, segment_bits))
+    found = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    by_root = found.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    known = attach(cut(found.select("fp", "n", "root")), cut(by_root), "root", "fps", "fp")
+    return attach(rows, cut(known.select("fp", "n", "root", "component_id")), "fp", "n", "doc_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable by links, of every row of ``docs`` (doc_id, text).
 
     Words are runs of other than ASCII white space, A-Z lower-cased. A text of
     fewer words than a shingle is one shingle; a null text, or one without words,
     has fingerprint 0 and links like any other. Equal fingerprints are one node
-    however many rows have them. Null ids are kept and name no component unless
-    all its ids are null; an empty table gives no rows; other columns are ignored.
+    however many rows have them; equal rows and rows of equal id are rows like
+    others. Null ids are kept and name no component unless all its ids are null;
+    an empty table gives no rows; other columns are ignored. A text's words are
+    held whole, its shingles BLOCK at a time.
     """
-    rows = cut(fingerprints(docs, shingle))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    roots = components(links(distinct, distance, segment_bits))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    sized = named.groupBy("root").agg(F.count(F.lit(1)).alias("fps"))
-    by_root = smallest.join(sized, "root").withColumn("fps", F.col("fps").cast("long"))
-    classes = attach(cut(named.select("fp", "n", "root")), cut(by_root), "root", "fps", "fp")
-    return attach(rows, cut(classes.select("fp", "n", "component_id")), "fp", "n", "doc_id")
+    return classes(docs, shingle, distance, segment_bits).select("doc_id", "fp", "component_id")
+
+
+def firsts(found: DataFrame, root: str = "root") -> DataFrame:
+    """(id, a, b) of the row of each component that has its smallest doc_id, a null one only where all are."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "id", "a", "b")).alias("m")
+    return found.groupBy(root).agg(least).select("m.id", "m.a", "m.b")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each component: that of its smallest doc_id (of equal ids one row)."""
-    found = near_duplicates(docs, shingle, distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return one.withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
+    """``docs``, all columns as they were, with one row of each component: one of its smallest doc_id.
+
+    Rows of other components stay whatever their ids: null and repeated ones name
+    no row. Of rows of equal id and text in it a component keeps one.
+    """
+    return one_of_each(docs, firsts(classes(docs, shingle, distance)))
