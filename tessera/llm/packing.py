@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import ChunkCache, buffers, resident
-from tessera.llm.common import bounded_batches, cut, ranked
+from tessera.llm.common import bounded_batches, cut, cut_table, ranked
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -227,4 +227,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
     alone; null ids and repeated rows are packed like any other; an empty table
     gives no rows. Sequences are gapless from offset 0, numbered from 0.
     """
-    return place(cut(cut_pieces(docs, tokenizer, capacity, end_id, with_ids)), capacity)
+    pieces = cut_pieces(docs, tokenizer, capacity, end_id, with_ids)
+    if not with_ids:
+        return place(cut(pieces), capacity)
+    # the ids, by far the most of a piece, are written once and meet its place by one join
+    pieces = cut_table(pieces.withColumn("_piece", F.monotonically_increasing_id()))
+    placed = place(pieces.drop("ids"), capacity)
+    return placed.join(pieces.select("_piece", "ids").hint("merge"), "_piece").drop("_piece")
