@@ -5,8 +5,10 @@ gives each node first neighbours, in as many orders as the rows of its label
 need for a pair at the threshold to stand close in one of them; rounds of
 NN-descent then compare neighbours of neighbours and keep each node's nearest.
 All links seen join their nodes' components, also those that no list has room
-for. A node whose list holds links only is saturated: its list is enlarged to
-the whole component, compared tile by tile. Fresh orders audit the links of all
+for. A node whose list holds links only is saturated: its list is enlarged to all
+links it has in its component, whose members it is compared with tile by tile;
+members that aren't saturated are compared with those that are, not with each
+other. Fresh orders audit the links of all
 nodes: they are added until they find hardly any link that was not known. Edges
 at the threshold or above stay.
 """
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, bounds, cut, groups, ranked, shuffle_partitions
-from tessera.llm.components import components
+from tessera.llm.components import attach, components
 from tessera.llm.vectors import dimension, matrix, unit, usable
 
 #: Places that a node looks to either side in an order, neighbours kept, those of one order, reverse neighbours a round looks at.
@@ -30,7 +32,7 @@ REACH, NEIGHBOURS, FIRST, REVERSE = 128, 12, 6, 6
 #: The share of pairs at the threshold that the first orders may leave apart; orders at least.
 APART, LEAST_ORDERS = 1e-4, 4
 #: The share of a fresh batch's links that must have been known; rounds of NN-descent; nodes of a tile.
-RECALL, ROUNDS, TILE = 0.999, 1, 512
+RECALL, ROUNDS, TILE = 0.999, 1, 1024
 #: What stands for the score where an edge says only that links join its nodes.
 JOINED = 9.0
 EDGES = "u long, v long, s double"
@@ -110,7 +112,7 @@ def in_orders(nodes: DataFrame, width: int, threshold: float, batch: int = 0) ->
                         parts = []
             yield _batch(parts)
 
-    keyed = nodes.select("id", "label", "x", "orders").mapInArrow(ordered, "label long, tree long, code long, id long, x array<float>")
+    keyed = nodes.select("id", "label", "x", "orders").mapInArrow(ordered, "label long, tree long, code long, id long, x " + dict(nodes.dtypes)["x"])
     keys = ["label", "tree", "code", "id"]
     spread = keyed.repartitionByRange(shuffle_partitions(nodes.sparkSession), *keys).sortWithinPartitions(*keys)
     return cut(_nearest(spread.mapInArrow(compared, EDGES)))
@@ -137,55 +139,63 @@ def descend(nodes: DataFrame, graph: DataFrame, width: int, threshold: float, re
 
 
 def linked(graph: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(u, v) of each link listed, both ways round; (node, root) of all that links join; the roots with a saturated node."""
+    """(u, v) of each link listed, both ways round; (node, root) of all that links join; (node, root) of the saturated."""
     near = graph.filter((F.col("s") >= threshold) & (F.col("s") != JOINED))
     both = cut(near.select("u", "v").unionAll(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     joined = graph.filter(F.col("s") == JOINED).select("u", "v")
     roots = components(both.unionAll(joined).select(F.col("u").alias("a"), F.col("v").alias("b")))
     full = near.groupBy("u").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= NEIGHBOURS).select("u")
-    return both, roots, cut(full.join(roots, F.col("u") == F.col("node")).select("root").distinct())
+    return both, roots, cut(full.join(roots, F.col("u") == F.col("node")).select("node", "root"))
 
 
 def unknown(fresh: DataFrame, both: DataFrame, roots: DataFrame, wide: DataFrame, threshold: float) -> tuple[int, int]:
-    """How many links ``fresh`` orders list, and how many of them are neither listed in ``both`` nor inside a component that is compared whole."""
+    """How many links ``fresh`` orders list, and how many of them are neither listed in ``both`` nor found by enlarging a list of ``wide``."""
     found = fresh.filter((F.col("s") >= threshold) & (F.col("s") != JOINED)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     known = both.withColumn("_known", F.lit(1))
-    whole = roots.join(wide, "root").select("node", "root")
     out = found.join(known, ["u", "v"], "left")
-    out = out.join(whole.select(F.col("node").alias("u"), F.col("root").alias("_a")), "u", "left").join(whole.select(F.col("node").alias("v"), F.col("root").alias("_b")), "v", "left")
-    lost = F.col("_known").isNull() & ~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))
+    for end, root, full in (("u", "_a", "_p"), ("v", "_b", "_q")):
+        ends = roots.join(wide.select(F.col("node").alias("_node"), F.lit(True).alias("_full")), F.col("node") == F.col("_node"), "left")
+        out = out.join(ends.select(F.col("node").alias(end), F.col("root").alias(root), F.col("_full").alias(full)), end, "left")
+    enlarged = F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)) & (F.coalesce("_p", F.lit(False)) | F.coalesce("_q", F.lit(False)))
+    lost = F.col("_known").isNull() & ~enlarged
     row = out.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(lost.cast("long")), F.lit(0)).alias("lost")).first()
     return row["n"], row["lost"]
 
 
 def tiles(members: DataFrame, rows: int, width: int, threshold: float) -> DataFrame:
-    """(id, links): how many vectors each of ``members`` (root, id, n, x) links with in its component, all compared, tile by tile."""
-    placed = ranked(members, ["root"], ["id"], rows).withColumn("tile", F.floor(F.col("rank") / TILE))
-    sizes = placed.groupBy("root").agg(F.max("tile").alias("last"))
-    placed = placed.join(sizes, "root")
-    every = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    every = every.select("root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "n", "x")
+    """(id, links): how many vectors each of ``members`` (root, id, n, x, wide) links with in its component, of those with ``wide`` if it hasn't it itself, of all if it has."""
+    placed = ranked(members, ["root", "wide"], ["id"], rows).withColumn("tile", F.floor(F.col("rank") / TILE))
+    last = placed.groupBy("root").agg(F.max(F.when(F.col("wide"), F.col("tile"))).alias("_wide"), F.max(F.when(~F.col("wide"), F.col("tile"))).alias("_rest"))
+    placed = placed.join(last, "root")
+    upto = lambda name: F.when(F.col(name).isNotNull(), F.sequence(F.lit(0).cast("long"), F.col(name))).otherwise(F.array().cast("array<long>"))
+    pair = lambda kind, i, j: F.struct(F.lit(kind).cast("long").alias("kind"), i.alias("i"), j.alias("j"))
+    with_wide = F.transform(upto("_wide"), lambda o: pair(0, F.least(F.col("tile"), o), F.greatest(F.col("tile"), o)))
+    with_rest = F.transform(upto("_rest"), lambda o: pair(1, F.col("tile"), o))
+    of_rest = F.transform(upto("_wide"), lambda o: pair(1, o, F.col("tile")))
+    every = placed.withColumn("at", F.explode(F.when(F.col("wide"), F.concat(with_wide, with_rest)).otherwise(of_rest)))
+    every = every.select("root", "at.kind", "at.i", "at.j", "tile", "wide", "id", "n", "x")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, 3):
-            edges = bounds(table, 3)
-            i, j, tile, ids, n = (table.column(c).to_numpy() for c in range(1, 6))
-            x = unit(matrix(table.column(6), width))
+        for table in groups(batches, 4):
+            edges = bounds(table, 4)
+            kind, i, j, tile, wide, ids, n = (table.column(c).to_numpy() for c in range(1, 8))
+            x = unit(matrix(table.column(8), width))
             out_ids, out_links = [], []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 here = np.arange(a, b)
-                left, right = here[tile[a:b] == i[a]], here[tile[a:b] == j[a]]
-                linked = x[left] @ x[right].T >= threshold
-                if i[a] == j[a]:
-                    np.fill_diagonal(linked, False)
+                left = here[wide[a:b] & (tile[a:b] == i[a])]
+                right = here[~wide[a:b]] if kind[a] else here[tile[a:b] == j[a]]
+                near = x[left] @ x[right].T >= threshold
+                if not kind[a] and i[a] == j[a]:
+                    np.fill_diagonal(near, False)
                 else:
                     out_ids.append(ids[right])
-                    out_links.append(n[left] @ linked)
+                    out_links.append(n[left] @ near)
                 out_ids.append(ids[left])
-                out_links.append(linked @ n[right])
+                out_links.append(near @ n[right])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_ids)), pa.array(np.concatenate(out_links).astype(np.int64))], ["id", "links"])
 
-    keys = ["root", "i", "j"]
+    keys = ["root", "kind", "i", "j"]
     dealt = every.repartition(shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys, "tile", "id")
     return dealt.mapInArrow(compared, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
@@ -194,21 +204,27 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, key: str = "vec_i
     """vec_id, n_links, component_id and kept of every row of ``table``.
 
     Vectors link when their labels are equal and not null and their cosine is
-    ``threshold`` or more. A row of a null key, a null label, a vector that
-    can't be compared or one of another length than most links with nothing and
-    is its own component. Equal rows are rows like others and link with each
-    other; an empty table gives no rows; other columns are ignored.
+    ``threshold`` or more, in double precision. A row of a null label, of a vector
+    that can't be compared or of one of another length than most links with
+    nothing and is its own component. Equal rows, and rows of equal or null key,
+    are rows like others and link with each other; a null key names a component
+    only if all its keys are null, and is kept then. An empty table gives no rows;
+    other columns are ignored.
     """
     bounded_batches(table.sparkSession)
-    rows = table.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<float>").alias("x"))
-    able = F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("x"))
-    rows = cut(rows.withColumn("x", F.when(able, F.col("x"))))
+    kinds = dict(table.dtypes)
+    named = F.col(label).cast("long") if kinds[label] in ("tinyint", "smallint", "int", "bigint", "boolean") else F.when(F.col(label).isNotNull(), F.xxhash64(label))
+    x = F.col(vector).cast("array<float>" if kinds[vector] == "array<float>" else "array<double>")
+    rows = table.select(F.col(key).cast("long").alias("key"), named.alias("label"), x.alias("x"), F.monotonically_increasing_id().alias("r"))
+    able = F.col("label").isNotNull() & usable(F.col("x"))
+    plain = F.transform("x", lambda v: v + F.lit(0.0).cast(kinds[vector].removeprefix("array<").removesuffix(">") if kinds[vector] == "array<float>" else "double"))  # no -0.0
+    rows = cut(rows.withColumn("x", F.when(able, plain)))
     width = dimension(rows.filter(F.col("x").isNotNull()), "x")
     part = rows.filter(F.size("x") == width) if width else rows.limit(0)
-    nodes = cut(part.groupBy("label", "x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    nodes = cut(part.groupBy("label", "x").agg(F.min("r").alias("id"), F.min("key").alias("first"), F.count(F.lit(1)).alias("n")))
     count = nodes.count()
     if not count:
-        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select(F.col("key").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
     sizes = nodes.groupBy("label").agg(F.count(F.lit(1)).alias("_rows"))
     nodes = cut(nodes.join(sizes, "label").withColumn("orders", orders(F.col("_rows"), threshold)).drop("_rows"))
     graph = in_orders(nodes, width, threshold)
@@ -225,12 +241,22 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, key: str = "vec_i
         if lost:
             graph = cut(_nearest(graph.unionAll(fresh)))
             both, roots, wide = linked(graph, threshold)
-    members = cut(roots.join(wide, "root").join(nodes, F.col("node") == F.col("id")).select("root", "id", "n", "x"))
+    full = wide.select(F.col("node").alias("_node"), F.lit(True).alias("_wide"))
+    members = roots.join(wide.select("root").distinct(), "root").join(full, F.col("node") == F.col("_node"), "left")
+    members = cut(members.select("root", F.col("node").alias("id"), F.coalesce("_wide", F.lit(False)).alias("wide")).join(nodes.select("id", "n", "x"), "id"))
     tiled = tiles(members, max(1, members.count()), width, threshold)
-    listed = both.join(nodes.select(F.col("id").alias("v"), "n"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("listed"))
-    found = nodes.join(roots, F.col("id") == F.col("node"), "left").join(listed, "id", "left").join(tiled, "id", "left")
-    found = found.select("label", "x", F.col("n").alias("same"), (F.coalesce("links", "listed", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
-    found = found.withColumn("_v", F.xxhash64("x")).withColumnsRenamed({"x": "_x", "label": "_label"})
-    out = rows.withColumn("_h", F.xxhash64("x")).join(found, (F.col("_h") == F.col("_v")) & (F.col("label") == F.col("_label")) & (F.col("x") == F.col("_x")), "left")
-    component = F.coalesce("root", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    # a saturated node's links are all in tiles; of the others' those with saturated nodes are, and the rest are listed
+    listed = both.join(nodes.select(F.col("id").alias("v"), "n"), "v").join(full.select(F.col("_node").alias("v"), "_wide"), "v", "left").filter("_wide is null")
+    listed = listed.groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("listed"))
+    found = nodes.select("label", "x", "id", "first", "n").join(roots, F.col("id") == F.col("node"), "left").join(listed, "id", "left").join(tiled, "id", "left").join(full, F.col("id") == F.col("_node"), "left")
+    counted = F.coalesce("links", F.lit(0)) + F.when(F.col("_wide").isNull(), F.coalesce("listed", F.lit(0))).otherwise(0) + F.col("n") - 1
+    marks = lambda: (F.xxhash64("label", "x").alias("h"), F.xxhash64(F.lit(1), "label", "x").alias("g"))
+    found = cut(found.select(*marks(), "n", "first", counted.alias("n_links"), F.coalesce("root", "id").alias("root")))
+    by_root = found.groupBy("root").agg(F.min("first").alias("component"), F.count(F.lit(1)).alias("nodes"))
+    found = attach(found, cut(by_root), "root", "nodes", "h")
+    by_hash = found.groupBy("h").agg(F.collect_list(F.struct("g", "n_links", "component")).alias("same"), F.sum("n").alias("rows"))
+    own = F.when(F.size("x") == width, marks()[0]).otherwise(F.xxhash64("r"))
+    out = attach(rows.select("key", "r", own.alias("h"), marks()[1], (F.size("x") == width).alias("part")), cut(by_hash), "h", "rows", "r")
+    mine = F.when(F.col("part"), F.element_at(F.filter("same", lambda y: y["g"] == F.col("g")), 1))
+    links, component = F.coalesce(mine["n_links"], F.lit(0)).cast("long"), F.when(mine.isNull(), F.col("key")).otherwise(mine["component"])
+    return out.select(F.col("key").alias("vec_id"), links.alias("n_links"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))

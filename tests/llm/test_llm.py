@@ -255,20 +255,28 @@ def vectors(spark):
 
 
 def test_neighbours(spark, vectors):
+    """Against brute force over rows, told apart whatever their ids: a row without an id, ids that several rows have, equal vectors."""
     df, x, rows = vectors
-    got = {}
-    for r in ann.search(df, lambda key: key % 50 == 0).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    full = {r[0]: np.array(r[1], float) for r in rows if r[0] is not None and r[0] < 300 or r[0] == 304}
-    hits = 0
-    asked = [q for q in full if q % 50 == 0]
-    assert sorted(got) == asked
-    for q in asked:
-        cos = {v: full[v] @ full[q] / np.linalg.norm(full[v]) / np.linalg.norm(full[q]) for v in full if v != q}
-        best = sorted(cos, key=lambda v: (-round(cos[v], 12), v))[:5]
-        hits += len(set(best) & {v for _, v, _ in got[q]})
-        assert [k for k, _, _ in sorted(got[q])] == [1, 2, 3, 4, 5] and all(abs(s - cos[v]) < 1e-12 for _, v, s in got[q])
-    assert hits / (5 * len(asked)) >= 0.9 and ann.search(df.limit(0), lambda key: key % 50 == 0).count() == 0
+    more = [(50, rows[120][1], 1, "s"), (50, rows[7][1], 1, "s"), (1, rows[3][1], 1, "s"), (1, rows[3][1], 1, "s")]
+    rows, df = [*rows, *more], df.unionAll(spark.createDataFrame(more, df.schema)).withColumns({n: F.lit("x") for n in ("id", "v", "n", "i", "kind", "rank")})
+    got = [tuple(r) for r in ann.search(df, lambda key: key % 50 == 0).collect()]
+    fine = [(r[0], np.array(r[1], float)) for r in rows if r[1] and len(r[1]) == 16 and np.isfinite(r[1]).all() and any(r[1])]
+    unit = np.array([v / np.linalg.norm(v) for _, v in fine])
+    want = []
+    for at in (k for k, (i, _) in enumerate(fine) if i is not None and i % 50 == 0):
+        cos = unit @ unit[at]
+        order = sorted((k for k in range(len(fine)) if k != at), key=lambda k: (-round(cos[k], 12), fine[k][0] is None, fine[k][0] or 0))
+        want += [(fine[at][0], rank + 1, fine[k][0], round(cos[k], 9)) for rank, k in enumerate(order[:5])]
+    got = [(q, rank, v, round(score, 9)) for q, rank, v, score in got]
+    assert len(got) == len(want) and len(set(got) & set(want)) >= 0.9 * len(set(want))
+    assert {(0, 1, 304, 1.0), (0, 2, None, 1.0)} <= set(got) and sum(1 for q, rank, _, _ in got if (q, rank) == (50, 1)) == 3
+    assert ann.search(df.limit(0), lambda key: key % 50 == 0).count() == 0
+
+
+def test_neighbours_of_large_components(spark):
+    rows = [(k, [1e200 * (k == j) + 1e199 for j in range(4)]) for k in range(4)] + [(50, [1e-200, 0.0, 0.0, 0.0]), (51, [1e200, 1e199, 1e199, 1e199])]
+    got = [tuple(r) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda key: key % 50 == 0, k=2).collect()]
+    assert [(q, rank, v) for q, rank, v, _ in sorted(got)] == [(0, 1, 51), (0, 2, 50), (50, 1, 0), (50, 2, 51)] and all(0 < s <= 1 for *_, s in got)
 
 
 def test_embedding_dedup(spark, vectors):
@@ -278,9 +286,33 @@ def test_embedding_dedup(spark, vectors):
     linked = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
     np.fill_diagonal(linked, False)
     roots = groups(300, lambda i, j: linked[i, j])
-    # row None equals vector 0 under the same label: one link, component 0
-    want = {i: (int(linked[i].sum()) + (i == 0), roots[i], roots[i] == i) for i in range(300)} | {i: (0, i, True) for i in range(300, 305)}
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in nndescent.near_duplicates(df).collect()}
-    got.pop(None)
-    want[0] = (got[0][0], *want[0][1:])
-    assert got == want and nndescent.near_duplicates(df.limit(0)).count() == 0
+    # the row without an id equals vector 0 under the same label, and vector 300 of id 304 has no label
+    zero = {i for i in range(300) if roots[i] == roots[0]}
+    links = linked.sum(axis=1) + np.where(linked[0], 1, 0)
+    want = [(i, int(links[i]) + (i == 0), roots[i], roots[i] == i) for i in range(300)] + [(i, 0, i, True) for i in range(300, 305)]
+    want.append((None, int(linked[0].sum()) + 1, min(zero), False))
+    got = [tuple(r) for r in nndescent.near_duplicates(df).collect()]
+    key = lambda r: (r[0] is None, r)
+    assert sorted(got, key=key) == sorted(want, key=key) and nndescent.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embedding_dedup_of_groups_as_large_as_lists_and_larger(spark):
+    """Groups of 11 to 14 and of 500 distinct vectors, repeated rows, ids that are null or shared, string labels, values beyond single precision."""
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal((6, 24))
+    rows = [(None if k % 7 == 0 else 1000 * g + k // 2, (centre[g] + 0.2 * rng.standard_normal(24)) * 1e150, f"l{g % 2}") for g, n in enumerate((11, 12, 13, 14, 500)) for k in range(n)]
+    rows += [(9000 + k, rng.standard_normal(24) * 1e150, "l0") for k in range(300)]
+    rows += [(9999, rows[0][1], "l0"), (9999, rows[0][1], "l0"), (9998, rows[0][1], None)]
+    x = np.array([v / 1e150 for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93) & np.array([[a[2] == b[2] and a[2] is not None for b in rows] for a in rows])
+    np.fill_diagonal(near, False)
+    roots = groups(len(rows), lambda i, j: near[i, j])
+    want = []
+    for i, r in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if roots[j] == roots[i] and rows[j][0] is not None]
+        component = min(ids) if ids else None
+        want.append((r[0], int(near[i].sum()), component, r[0] == component))
+    df = spark.createDataFrame([(i, v.tolist(), l) for i, v, l in rows], "vec_id long, embedding array<double>, label string").withColumns({n: F.lit("x") for n in ("id", "x", "n", "r", "key", "root")})
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted((tuple(r) for r in nndescent.near_duplicates(df).collect()), key=key) == sorted(want, key=key) and max(w[1] for w in want) > 300
