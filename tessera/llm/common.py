@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,20 +44,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_table(df: DataFrame) -> DataFrame:
-    """As ``cut``, for large tables: compressed columns, which stay in the shared folder as long as it does.
-
-    The shuffle files that the table came from go as soon as it is written.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is run inside leaves no shuffle files behind."""
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_table(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """As ``cut``, for large tables and many rounds: compressed columns, which stay in the shared folder as long as it does.
+
+    The shuffle files that the table came from go as soon as it is written, and so
+    does the table that it was made ``instead_of``, to which nothing else may refer.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    if instead_of is not None:
+        old = spark._jvm.org.apache.hadoop.fs.Path(instead_of._cut_to)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_to = path
+    return out
 
 
 def bounded_batches(spark: SparkSession) -> None:

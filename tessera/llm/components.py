@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut_table, shuffles_removed
 
 #: Keys with more than a HEAVY-th of all rows are joined by broadcast: at most HEAVY keys.
 HEAVY = 10_000
@@ -20,17 +20,19 @@ def components(edges: DataFrame) -> DataFrame:
     aggregated before the shuffle; edges are written to the shared folder after
     each round. No edges, no rows.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
+    now = cut_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
     mark = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).alias("m")
-    before = now.agg(mark).first()["m"]
+    with shuffles_removed(edges.sparkSession):
+        before = now.agg(mark).first()["m"]
     while before["n"]:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         handed = large.join(small.select(F.col("a").alias("u"), "m"), F.col("a") == F.col("u")).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(handed.unionAll(small.select("a", F.col("m").alias("b"))).distinct())
-        after = now.agg(mark).first()["m"]
+        now = cut_table(handed.unionAll(small.select("a", F.col("m").alias("b"))).distinct(), now)
+        with shuffles_removed(edges.sparkSession):
+            after = now.agg(mark).first()["m"]
         if after == before:
             break
         before = after
@@ -43,7 +45,8 @@ def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: str
     Rows of heavy keys, of which there are at most HEAVY, meet a broadcast; the
     others are joined by shuffle, in which heavy rows are dealt by ``spread``.
     """
-    total = table.agg(F.sum(weight)).first()[0] or 0
+    with shuffles_removed(rows.sparkSession):
+        total = table.agg(F.sum(weight)).first()[0] or 0
     limit = max(1, total // HEAVY)
     columns = [c for c in table.columns if c not in (key, weight)]
     heavy = table.filter(F.col(weight) > limit).select(F.col(key).alias("_hk"), F.struct(*columns).alias("_heavy"))
