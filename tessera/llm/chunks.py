@@ -13,9 +13,10 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of a chunk that its key mixes by position; longer ones are keyed by Python.
-SPAN = 96
+#: Bytes of a chunk that its key mixes by position (longer ones are keyed by their bytes); bytes of chunks looked up at a time.
+SPAN, BLOCK = 96, 1 << 20
 _TABLE = np.random.default_rng(20240229).integers(0, 2**64, size=(SPAN, 256), dtype=np.uint64)
+_CHECK = np.random.default_rng(20250301).integers(0, 2**32, size=(SPAN, 256), dtype=np.uint32)
 
 
 _RESIDENT: dict = {}
@@ -68,6 +69,7 @@ class ChunkCache:
         self.index: dict = {}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size, self.known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.check = np.zeros(1 << 16, np.uint32)  # of the chunks that are found by key
 
     def _add(self, chunks: list[bytes]) -> None:
         got, sizes = self.encode(chunks)
@@ -75,7 +77,7 @@ class ChunkCache:
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while self.known + n > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+            self.start, self.size, self.check = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.check))
         self.pool[self.used : self.used + total] = got
         self.size[self.known : self.known + n] = sizes
         self.start[self.known : self.known + n] = self.used + np.cumsum(sizes) - sizes
@@ -88,39 +90,44 @@ class ChunkCache:
         starts, firsts = split(data, offsets, self.separator)
         if not len(starts):
             return np.zeros(0, np.int64), firsts
-        sizes = np.diff(np.append(starts, len(data)))
-        at = np.arange(len(data)) - np.repeat(starts, sizes)
-        mixed = _TABLE[at % SPAN, data]
-        turn = at // SPAN
-        if turn.any():  # chunks beyond the table: their key is made of all their bytes below
-            mixed[turn > 0] = 0
-        keys = np.add.reduceat(mixed, starts) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        long = np.flatnonzero(sizes > SPAN)
-        named = {}
-        for i in long.tolist():
-            named[i] = data[starts[i] : starts[i] + sizes[i]].tobytes()
-        keys[long] = np.uint64(0)
-        distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        get = self.index.get
-        numbers = np.array([get(k, -1) for k in distinct.tolist()], np.int64)
-        new = np.flatnonzero(numbers < 0)
-        new = new[sizes[where[new]] <= SPAN]
-        if len(new):
-            whole, ends = data.tobytes(), (starts + sizes)[where[new]]
-            texts = [whole[a:b] for a, b in zip(starts[where[new]].tolist(), ends.tolist(), strict=True)]
-            numbers[new] = self.known + np.arange(len(new))
-            self._add(texts)
-            self.index.update(zip(distinct[new].tolist(), numbers[new].tolist(), strict=True))
-        out = numbers[back]
-        if named:
-            missing = [c for c in dict.fromkeys(named.values()) if c not in self.index]
+        ends = np.append(starts[1:], len(data))
+        edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), BLOCK)), len(starts)))
+        return np.concatenate([self._numbers(data, starts[a:b], ends[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]), firsts
+
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.full(len(starts), -1, np.int64)
+        sizes = ends - starts
+        short = np.flatnonzero(sizes <= SPAN)
+        if len(short):
+            size = sizes[short]
+            begin = np.cumsum(size) - size
+            at = np.arange(int(size.sum())) - np.repeat(begin, size)
+            byte = data[at + np.repeat(starts[short], size)]
+            keys = np.add.reduceat(_TABLE[at, byte], begin) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            checks = np.add.reduceat(_CHECK[at, byte], begin)
+            distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
+            get = self.index.get
+            numbers = np.array([get(k, -1) for k in distinct.tolist()], np.int64)
+            new = np.flatnonzero(numbers < 0)
+            if len(new):
+                some = short[where[new]]
+                first = self.known
+                self._add([data[a:b].tobytes() for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+                numbers[new] = first + np.arange(len(new))
+                self.check[numbers[new]] = checks[where[new]]
+                self.index.update(zip(distinct[new].tolist(), numbers[new].tolist(), strict=True))
+            found = numbers[back]
+            same = (self.check[found] == checks)  # another chunk of equal key goes by its bytes
+            out[short[same]] = found[same]
+        named = {i: data[starts[i] : ends[i]].tobytes() for i in np.flatnonzero(out < 0).tolist()}
+        missing = [c for c in dict.fromkeys(named.values()) if c not in self.index]
+        if missing:
             first = self.known
-            if missing:
-                self._add(missing)
-                self.index.update((c, first + i) for i, c in enumerate(missing))
-            for i, c in named.items():
-                out[i] = self.index[c]
-        return out, firsts
+            self._add(missing)
+            self.index.update((c, first + i) for i, c in enumerate(missing))
+        for i, c in named.items():
+            out[i] = self.index[c]
+        return out
 
     def flat(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pool values of the given chunks one after another, and where each begins (n + 1)."""

@@ -9,7 +9,6 @@ left out of the training calibrates the probabilities.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,13 +20,14 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded_batches, fold
 
 BUCKETS, GRAMS, SCALE = 1 << 15, 3, 40.0
-#: About so many rows of each language are learnt from, by hash of their id; so many languages at most.
-ROWS_A_LANGUAGE, LANGUAGES = 600, 256
+#: About so many rows of each language are learnt from, by hash of their id and text, of texts of so many characters at most.
+ROWS_A_LANGUAGE, LEARN_CHARS = 600, 1 << 16
+#: Languages of which a model's numbers still fit in the driver: more are an error, not left out.
+LANGUAGES = 1024
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.02, 0.01, 4
 UNDETERMINED = "und"
 #: Characters handled at a time.
 PART = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint64)
 
 
@@ -88,6 +88,14 @@ def _one(text: str, n: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(15))) * np.uint64(0x2C1B3C6D) >> np.uint64(12)).astype(np.int64) & (BUCKETS - 1)
 
 
+def _blocks(text: str) -> Iterator[np.ndarray]:
+    """Buckets of a long text's n-grams, PART characters at a time."""
+    lowered = text.lower()
+    for at in range(0, len(lowered), PART):
+        for n in range(1, GRAMS + 1):
+            yield _one(lowered[at : at + PART + n - 1], n)
+
+
 def _features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     codes = np.concatenate([codes for codes, _ in buckets_of([text])])
     counts = np.bincount(codes, minlength=BUCKETS)
@@ -104,6 +112,12 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
             column = batch.column(0).to_pylist()
             rows += len(column)
             for a, b in _parts(column):
+                if len(column[b - 1] or "") > PART:
+                    seen = np.zeros(BUCKETS, bool)
+                    for codes in _blocks(column[b - 1]):
+                        seen[codes] = True
+                    total += seen
+                    b -= 1
                 for begin in range(a, b, 64):
                     some = column[begin : min(b, begin + 64)]
                     seen = np.zeros((len(some), BUCKETS), bool)
@@ -165,14 +179,21 @@ def fit(docs: DataFrame, modulus: int = 3, held_out: int = 1, rows_a_language: i
     """Learn from the text and non-null lang of rows outside the held-out fold.
 
     Document frequencies are counted over all those rows; the weights are fitted
-    on about ``rows_a_language`` of each of the LANGUAGES commonest languages.
+    on about ``rows_a_language`` of each language (fewer, if it has fewer), of
+    texts of LEARN_CHARS characters at most, drawn by hash; more than LANGUAGES
+    languages are an error. Null and empty texts and rows without a language teach
+    nothing; repeated rows are rows like others; null ids are in no held-out fold;
+    an empty table gives a model that knows no language. Extra columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~fold(F.col("doc_id"), modulus, held_out))
     frequency, rows = document_frequencies(known)
     idf = np.log((1 + rows) / (1 + frequency)) + 1
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    known = known.filter(F.length("text").between(1, LEARN_CHARS))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages: their weights don't fit in the driver")
     if not counts:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, rows_a_language / r["n"])) for r in counts], "lang string, _share double")
@@ -186,6 +207,13 @@ def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.
     k = len(model.languages)
     logits = np.zeros((len(texts), k))
     for a, b in _parts(texts):
+        if len(texts[b - 1] or "") > PART:
+            total, grams = np.zeros(k), 0
+            for codes in _blocks(texts[b - 1]):
+                total += np.bincount(codes, minlength=BUCKETS) @ model.weights
+                grams += len(codes)
+            logits[b - 1] = total / max(grams, 1) + model.bias
+            b -= 1
         total, grams = np.zeros((b - a, k)), np.zeros(b - a)
         for codes, counts in buckets_of(texts[a:b]):
             owner = np.repeat(np.arange(b - a), np.diff(counts))
@@ -194,7 +222,7 @@ def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.
                 total[:, j] += np.bincount(owner, gathered[:, j], b - a)
             grams += np.diff(counts)
         logits[a:b] = total / np.maximum(grams, 1)[:, None] + model.bias
-    has = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool) & (k > 0)
+    has = np.array([any(map(str.isalpha, t or "")) for t in texts], bool) & (k > 0)
     if not k:
         return [UNDETERMINED] * len(texts), np.zeros(len(texts))
     s = logits / model.temperature
@@ -207,8 +235,11 @@ def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.
 def predict(docs: DataFrame, model: Model, modulus: int = 3, held_out: int = 1) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row; only the text is looked at.
 
-    A null text, or one without a letter, is ``und`` with score 0. Null ids are in
-    no held-out fold; repeated rows get equal answers; an empty table gives no rows.
+    A null text, or one without a letter (Unicode category L), is ``und`` with
+    score 0; of equally likely languages the first by name is told. Null ids are in
+    no held-out fold; repeated rows get equal answers; texts are read whole, a long
+    one PART characters at a time; an empty table gives no rows; other columns are
+    ignored.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
