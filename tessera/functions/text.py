@@ -1,18 +1,3 @@
-"""Substring search with the rules of an ASCII-case-insensitive LIKE without an escape character."""
-
-from __future__ import annotations
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+"""The letters that an ASCII-case-insensitive LIKE folds."""
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def folded(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
-def contains(text: Column, term: Column) -> Column:
-    """% and _ in ``term`` are wildcards, a backslash is itself, null matches nothing, '' all but null."""
-    plain = F.replace(term, F.lit("\\"), F.lit("\\\\"))
-    return folded(text).like(F.concat(F.lit("%"), folded(plain), F.lit("%")))

@@ -100,19 +100,34 @@ def series_percentiles(spark: SparkSession, d: str) -> DataFrame:
 @query("""select p_brand as series, p_partkey as pos, round(case when lo = hi then 0.5 else (p_size - lo)::double / (hi - lo) end, 6) as x
 from part join (select p_brand, min(p_size) lo, max(p_size) hi from part group by 1) using (p_brand)""")
 def series_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return series.transform(_sizes(spark, d), "normalize").withColumn("x", F.round("x", 6))
+    return series.transform(_sizes(spark, d), "normalize").select("series", "pos", F.round("x", 6).alias("x"))
 
 
 @query("""select p_brand as series, p_partkey as pos, round(case when lo = hi then 0.5 else (p_size - lo)::double / (hi - lo) end * 100, 6) as x
 from part join (select p_brand, min(p_size) lo, max(p_size) hi from part group by 1) using (p_brand)""")
 def series_scale(spark: SparkSession, d: str) -> DataFrame:
-    return series.transform(_sizes(spark, d), "scale").withColumn("x", F.round("x", 6))
+    return series.scale(_sizes(spark, d)).select("series", "pos", F.round("x", 6).alias("x"))
 
 
-@query("""select c_mktsegment || '/' || c_nationkey as series, case when not bool_and(c_acctbal between -1000 and 1000) then 'Bounds check failed' end as error from customer where c_acctbal < 2500 group by 1""")
+@query("""select c_mktsegment || '/' || c_nationkey as series, case when not bool_and(c_acctbal between -1000 and 9900) then 'Bounds check failed' end as error from customer group by 1""")
 def bounds_check(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").filter("c_acctbal < 2500").select(F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("series"), F.col("c_custkey").alias("pos"), F.col("c_acctbal").cast("double").alias("x"))
-    return series.preprocess(rows)[1]
+    rows = table(spark, d, "customer").select(F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("series"), F.col("c_custkey").alias("pos"), F.col("c_acctbal").cast("double").alias("x"))
+    return series.preprocess(rows, low=-1000, high=9900)[1]
+
+
+@query("""with raw as (select user_id as series, event_id as pos, case when event_id % 61 <> 0 then value::double end as x from events),
+st as (select series, bool_and(x is not null) as valid, avg(x) m, stddev_pop(x) s, count(*) n, min(x) lo, max(x) hi from raw group by 1),
+t as (select series, count(*) as kept from raw join st using (series) where n < 2 or s = 0 or abs((x - m) / nullif(s, 0)) <= 2.0 group by 1)
+select series, case when not valid then 'Invalid input data' end as trim_error, case when valid then kept else 0 end::bigint as kept,
+case when not valid then 'Invalid input for normalization' end as normal_error, case when not valid then 'Input validation failed in transformation' end as transform_error,
+case when not valid then 'Input validation failed' end as analysis_error, case when valid then n end::bigint as transformed_count from st left join t using (series)""")
+def series_refused(spark: SparkSession, d: str) -> DataFrame:
+    rows = _events(spark, d).withColumn("x", F.when(F.col("pos") % 61 != 0, F.col("x")))
+    told = lambda df, name: df.groupBy("series").agg(F.max("error").alias(name), F.count("pos").alias("kept"))
+    out = told(series.trim(rows), "trim_error")
+    for df, name in ((series.normalize(rows), "normal_error"), (series.transform(rows, "other"), "transform_error")):
+        out = out.join(told(df, name).drop("kept"), "series")
+    return out.join(series.analysis(rows).select("series", F.col("error").alias("analysis_error"), "transformed_count"), "series")
 
 
 @query("""with p as (select a.p_brand as series, a.p_partkey as i, b.p_partkey as j, row_number() over (partition by a.p_brand order by b.p_partkey, a.p_partkey desc) as r
@@ -183,11 +198,48 @@ def receipts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select l_orderkey as cart_id, string_agg(l_partkey || 'x' || l_quantity::int, ',' order by l_linenumber, l_partkey, l_quantity::int) as items from lineitem group by 1""")
 def order_items(spark: SparkSession, d: str) -> DataFrame:
-    items = F.array_sort(F.collect_list(F.struct("line_no", "sku", "qty")))
-    rows = _lines(spark, d).groupBy("cart_id").agg(items.alias("items"))
-    return rows.select("cart_id", F.array_join(F.transform("items", lambda i: F.concat(i["sku"].cast("string"), F.lit("x"), i["qty"].cast("string"))), ",").alias("items"))
+    return shop.order_items(_lines(spark, d)).select("cart_id", F.array_join(F.transform("items", lambda i: F.concat(i["sku"].cast("string"), F.lit("x"), i["qty"].cast("string"))), ",").alias("items"))
+
+
+@query("select user_id as cart_id, arg_max(event_type, event_id) as coupon from events group by 1")
+def last_coupons(spark: SparkSession, d: str) -> DataFrame:
+    return shop.coupons(table(spark, d, "events").select(F.col("user_id").alias("cart_id"), F.col("event_type").alias("code"), F.col("event_id").alias("seq")))
+
+
+@query("""select l_orderkey as cart_id, l_linenumber::int as line_no, (l_quantity::int - 9) as qty,
+case when l_partkey % 7 = 0 then 'unknown sku: ' || (-1 - l_partkey) when l_quantity::int - 9 < 1 then 'quantity must be a positive integer, got ' || (l_quantity::int - 9) end as error from lineitem""")
+def line_errors(spark: SparkSession, d: str) -> DataFrame:
+    lines = _lines(spark, d).withColumn("qty", F.col("qty") - 9).withColumn("sku", F.when(F.col("sku") % 7 == 0, -1 - F.col("sku")).otherwise(F.col("sku")))
+    return shop.bound_lines(lines, _products(spark, d)).select("cart_id", "line_no", "qty", "error")
+
+
+@query("""with u as (select user_id as sku, arg_max(event_type, event_id) as name, arg_max(value, event_id)::double as price from events group by 1)
+select sku, name, price, 1 as stock from u where translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like '%c_i%'""")
+def catalog_upsert_search(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("user_id").alias("sku"), F.col("event_type").alias("name"), F.col("value").cast("double").alias("price"), F.lit(1).alias("stock"), F.col("event_id").cast("bigint").alias("seq"))
+    return shop.search(shop.upsert(rows), "C_I")
+
+
+@query("""with s as (select l_orderkey as cart_id, sum(p_retailprice::decimal(20,8) * l_quantity::int)::double as subtotal, count(*) as n from lineitem join part on l_partkey = p_partkey group by 1),
+c as (select o_orderkey as cart_id, coalesce(subtotal, 0) as subtotal, coalesce(n, 0) as n, case when o_orderpriority like '1%' then 'SAVE10' when o_orderpriority like '2%' then 'FLAT50' when o_orderpriority like '5%' then 'save10' end as code,
+  case o_orderstatus when 'F' then 'card' when 'O' then 'upi' else 'cash' end as kind from orders left join s on o_orderkey = cart_id),
+e as (select *, case when code = 'SAVE10' then subtotal - subtotal * 10 / 100 when code = 'FLAT50' then greatest(subtotal - 50, 0.0) else subtotal end as a,
+  case when code = 'save10' then 'unknown coupon code: ' || chr(39) || 'save10' || chr(39) when kind = 'cash' then 'unknown payment method: cash' end as error from c),
+t as (select *, printf('%.2f', a * 0.18)::double as tax, case when a >= 500 then 0.0 else 40.0 end as fee from e)
+select cart_id, case when error is null then 'ok' end as status, case when error is null then printf('%.2f', a + tax + fee)::double end as total, case when error is null then kind end as method,
+n::bigint as n_items, error from t""")
+def checkout_ample(spark: SparkSession, d: str) -> DataFrame:
+    """Checkout where stock never runs out: what is refused is refused for its coupon or its payment."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("cart_id"), "o_orderpriority", "o_orderstatus")
+    code = F.col("o_orderpriority")
+    carts = orders.select("cart_id", F.lit(0.0).alias("discount_pct"), F.when(code.startswith("1"), "SAVE10").when(code.startswith("2"), "FLAT50").when(code.startswith("5"), "save10").alias("coupon"))
+    kind = F.when(F.col("o_orderstatus") == "F", "card").when(F.col("o_orderstatus") == "O", "upi").otherwise("cash")
+    payments = orders.select("cart_id", kind.alias("kind"), F.lit("41110000").alias("detail"))
+    products = _products(spark, d).withColumn("stock", F.lit(1_000_000_000))
+    done = shop.checkout(carts, _lines(spark, d), products, payments)
+    return done.select("cart_id", "status", "total", F.col("receipt.method").alias("method"), F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"), "error")
 
 
 @query()
 def orders_in_arrival_order(spark: SparkSession, d: str) -> DataFrame:
-    return shop.accept_in_order(_lines(spark, d), _products(spark, d, 20))
+    return shop.accept_in_order(_lines(spark, d), _products(spark, d, 20)).select("cart_id", "accepted")

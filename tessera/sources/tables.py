@@ -1,4 +1,4 @@
-"""Parquet tables and the append-only order log."""
+"""Parquet tables, tables of other databases, and the append-only order log."""
 
 from __future__ import annotations
 
@@ -11,6 +11,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def external(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
+    """A table of the caller's database, by JDBC; filters and columns are pushed down to it."""
+    return spark.read.jdbc(url, name, properties=options)
+
+
 def append_orders(orders: DataFrame, path: str) -> None:
     """Append accepted orders (seq, total, items) to the log."""
     orders.select("seq", "total", "items").write.mode("append").parquet(path)

@@ -3,6 +3,7 @@ import statistics
 
 import pytest
 
+from tessera.functions.errors import strict
 from tessera.operators import pairs, series
 
 SAMPLE = [10, 15, 12, 18, 20, 100, 16, 14, 19, 17]
@@ -57,3 +58,39 @@ def test_validation(spark):
 def test_two_sum(spark):
     df = series.from_lists(spark, {"a": [2, 7, 11, 15, 9], "b": [1, 2], "c": [3, 3, 6]})
     assert {r["series"]: r["pair"] for r in pairs.two_sum(df, 9.0).collect()} == {"a": [0, 1], "b": [], "c": [1, 2]}
+
+
+def test_refused_series_tell_why(spark):
+    df = series.from_lists(spark, {"hole": [1, None, 3], "far": [5000, 1], "fine": [1, 2, 3]})
+    told = lambda out: {r["series"]: r["error"] for r in out.collect()}
+    for out, message in ((series.trim(df), "Invalid input data"), (series.normalize(df), "Invalid input for normalization"), (series.scale(df), "Invalid input for normalization"), *((series.transform(df, m), "Input validation failed in transformation") for m in ("scale", "normalize", "other"))):
+        assert told(out) == {"hole": message, "far": None, "fine": None}
+        rows = [r for r in out.collect() if r["series"] == "hole"]
+        assert len(rows) == 1 and rows[0]["pos"] is None and rows[0]["x"] is None
+        with pytest.raises(ValueError, match=message):
+            strict(out)
+    for out in (series.features(df), series.analysis(df), series.report(df)):
+        assert told(out) == {"hole": series.INVALID, "far": series.OUT_OF_BOUNDS, "fine": None}
+    refused = {r["series"]: r for r in series.analysis(df).collect()}["far"]
+    assert (refused["raw_features"], refused["transformed_count"], refused["skewness"]) == (None, None, None)
+
+
+def test_percentiles_of_far_apart_values(spark):
+    rng = random.Random(8)
+    lists = {str(k): [rng.choice([0.0, -0.5, 1e300, -1e300, rng.uniform(-1, 1), rng.gauss(0, 1e6)]) for _ in range(200)] for k in range(5)}
+    for r in series.percentiles(series.from_lists(spark, lists), [0, 1, 50, 50, 99, 100]).collect():
+        xs = sorted(lists[r["series"]])
+        assert [r[f"p{p}"] for p in (0, 1, 50, 99, 100)] == [xs[min(int(200 * p / 100), 199)] for p in (0, 1, 50, 99, 100)]
+
+
+def test_two_sum_against_a_plain_model(spark):
+    rng = random.Random(4)
+    lists = {str(k): [rng.choice([0.1, 0.2, 0.3, 1, 2, 3, 4]) for _ in range(rng.randint(0, 9))] or [7] for k in range(60)}
+    want = {}
+    for name, xs in lists.items():
+        seen, want[name] = {}, []
+        for j, x in enumerate(xs):
+            if not want[name] and 4.2 - x in seen:
+                want[name] = [seen[4.2 - x], j]
+            seen[x] = j
+    assert {r["series"]: r["pair"] for r in pairs.two_sum(series.from_lists(spark, lists), 4.2).collect()} == want

@@ -7,6 +7,7 @@ from tessera.functions import money
 from tessera.functions.errors import MissingKey, strict
 from tessera.operators import shop
 from tessera.plans.routes import handle
+from tessera.sources.tables import external
 
 
 @pytest.fixture(scope="module")
@@ -74,17 +75,72 @@ def test_checkout_and_log(spark, products, tmp_path):
 
 
 def test_orders_in_order_against_a_plain_model(spark, products):
+    """Who is accepted and what the others are told, line by line; quantities of 0 and less and unknown skus take nothing."""
     rng = random.Random(3)
-    rows = [(k, n, rng.choice("ABC"), rng.randint(1, 4)) for k in range(60) for n in range(rng.randint(1, 3))]
+    rows = [(k, n, rng.choice("ABCX" if k % 9 == 0 else "ABC"), rng.randint(0 if k % 7 == 0 else 1, 4) * (-1 if k % 11 == 0 else 1)) for k in range(60) for n in range(rng.randint(1, 3))]
     stock = spark.createDataFrame([("A", 20), ("B", 15), ("C", 30)], "sku string, stock int")
     left, want = {"A": 20, "B": 15, "C": 30}, {}
     for k in range(60):
-        need = {}
+        reserved, want[k] = [], None
         for _, _, sku, qty in (r for r in rows if r[0] == k):
-            need[sku] = need.get(sku, 0) + qty
-        want[k] = all(left[s] >= n for s, n in need.items())
-        if want[k]:
-            for s, n in need.items():
-                left[s] -= n
+            if sku not in left:
+                want[k] = f"unknown sku: {sku}"
+            elif qty < 1:
+                want[k] = f"quantity must be a positive integer, got {qty}"
+            elif left[sku] < qty:
+                want[k] = f"only {left[sku]} of {sku} left"
+            if want[k]:
+                break
+            left[sku] -= qty
+            reserved.append((sku, qty))
+        for sku, qty in reserved if want[k] else ():
+            left[sku] += qty
     lines = spark.createDataFrame(rows, "cart_id long, line_no int, sku string, qty int")
-    assert {r["cart_id"]: r["accepted"] for r in shop.accept_in_order(lines, stock).collect()} == want
+    got = {r["cart_id"]: (r["accepted"], r["error"]) for r in shop.accept_in_order(lines, stock).collect()}
+    assert got == {k: (e is None, e) for k, e in want.items()} and sum(e is not None and e.startswith("only") for e in want.values()) > 3
+    assert shop.accept_in_order(lines.limit(0), stock).count() == 0
+
+
+def test_a_shortage_tells_what_earlier_orders_left(spark, products):
+    carts = spark.createDataFrame([(1,), (2,), (3,)], "cart_id long")
+    lines = spark.createDataFrame([(1, 1, "A1", 2), (2, 1, "A1", 10), (3, 1, "A1", 2), (3, 2, "A1", 2)], "cart_id long, line_no int, sku string, qty int")
+    pay = spark.createDataFrame([(k, "card", "42") for k in (1, 2, 3)], "cart_id long, kind string, detail string")
+    got = {r["cart_id"]: r["error"] for r in handle("/checkout", carts=carts, lines=lines, products=products, payments=pay).collect()}
+    assert got == {1: None, 2: "only 3 of A1 left", 3: "only 1 of A1 left"}
+
+
+def test_prices_of_when_a_line_was_added_and_beyond_cents(spark, products):
+    cheap = products.withColumn("price", F.lit(0.125))
+    lines = spark.createDataFrame([(1, 1, "A1", 2)], "cart_id long, line_no int, sku string, qty int")
+    carts = spark.createDataFrame([(1, 0.0, None)], "cart_id long, discount_pct double, coupon string")
+    assert shop.totals(carts, lines, cheap).first()["subtotal"] == 0.25
+    assert shop.totals(carts, shop.add_lines(lines, cheap), products).first()["subtotal"] == 0.25
+    assert shop.totals(carts, lines, products).first()["subtotal"] == 200
+
+
+def test_last_coupon(spark):
+    events = spark.createDataFrame([(1, "SAVE10", 1), (1, "FLAT50", 2), (2, "BOGUS", 1)], "cart_id long, code string, seq long")
+    assert {r["cart_id"]: r["coupon"] for r in shop.coupons(events).collect()} == {1: "FLAT50", 2: "BOGUS"}
+
+
+def test_a_further_kind_of_payment(spark):
+    assert shop.receipt(F.lit("cash"), F.lit("x"), F.lit(1.0)) is not None
+
+    @shop.payment("voucher")
+    def voucher(detail):
+        return {"code": F.upper(detail)}
+
+    try:
+        got = spark.range(1).select(shop.receipt(F.lit("voucher"), F.lit("ab"), F.lit(9.0)).alias("r"), shop.receipt(F.lit("card"), F.lit("12345"), F.lit(1.0)).alias("c"), shop.payment_error(F.lit("voucher")).alias("e")).first()
+        assert got["r"].asDict() == {"method": "voucher", "last4": None, "handle": None, "code": "AB", "amount": 9.0, "status": "paid"}
+        assert got["c"]["last4"] == "2345" and got["c"]["code"] is None and got["e"] is None
+    finally:
+        del shop.PAYMENTS["voucher"]
+    assert one(spark, shop.payment_error(F.lit("voucher"))) == "unknown payment method: voucher"
+
+
+def test_search_in_a_database(spark, products):
+    url, driver = "jdbc:derby:memory:tessera;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    products.filter("name is not null").select(*[F.col(c).alias(c.upper()) for c in products.columns]).coalesce(1).write.jdbc(url, "PRODUCTS", "overwrite", {"driver": driver, "createTableColumnTypes": "SKU VARCHAR(20), NAME VARCHAR(99)"})
+    found = shop.search(external(spark, url, "PRODUCTS", driver=driver), "es")
+    assert [tuple(r) for r in found.collect()] == [("B2", "Desk", 450.0, 1)]
