@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of a chunk that its key mixes by position (longer ones are keyed by their bytes); bytes of chunks looked up at a time.
-SPAN, BLOCK = 96, 1 << 20
+SPAN, BLOCK = 96, 1 << 21
 _TABLE = np.random.default_rng(20240229).integers(0, 2**64, size=(SPAN, 256), dtype=np.uint64)
 _CHECK = np.random.default_rng(20250301).integers(0, 2**32, size=(SPAN, 256), dtype=np.uint32)
 
@@ -104,7 +104,7 @@ class ChunkCache:
             at = np.arange(int(size.sum())) - np.repeat(begin, size)
             byte = data[at + np.repeat(starts[short], size)]
             keys = np.add.reduceat(_TABLE[at, byte], begin) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            checks = np.add.reduceat(_CHECK[at, byte], begin)
+            checks = np.add.reduceat(_CHECK[at, byte], begin, dtype=np.uint32)
             distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
             get = self.index.get
             numbers = np.array([get(k, -1) for k in distinct.tolist()], np.int64)
