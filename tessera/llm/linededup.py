@@ -1,9 +1,9 @@
 """Line dedup, with DataFrame functions only.
 
-A line is known by a 128-bit hash of its key. Hashes found in very many documents
-are few and are counted by aggregation alone; the others are dealt by range of
-hash, sorted by document and position within a hash, and streamed once to tell
-which lines stay. What comes back to a document is a run-length bitmap of the
+A line is known by a 128-bit hash of its key. Hashes are dealt by range, sorted by
+document and position within a hash, and streamed once to tell which lines stay.
+Only hashes of a great many lines, as a thin sample shows (by which a hash's way
+is chosen, not its result), are counted by aggregation instead. What comes back to a document is a run-length bitmap of the
 lines it keeps, never text.
 """
 
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ASCII_SPACE, ascii_lower, cut
 
-#: At most so many hashes are handled apart (and broadcast): those in more than a
-#: HEAVY-th of all pairs of a hash and a document.
-HEAVY = 20_000
+#: One line in so many is looked at to find hashes that are handled apart: those seen more often than HITS times
+#: and than a HEAVY-th of all looked at, which are fewer than HEAVY (and broadcast).
+SAMPLED, HITS, HEAVY = 64, 64, 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -32,18 +32,18 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     rows = docs.select(_doc(F.col("doc_id")).alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_text"), F.posexplode(_lines(F.col("text").cast("string"))).alias("pos", "_line"))
     rows = rows.withColumn("_key", line_key(F.col("_line"))).filter(F.length("_key") >= min_chars)
     rows = cut(rows.select(F.xxhash64("_key").alias("_a"), F.xxhash64(F.lit(1), F.col("_key")).alias("_b"), "_doc", "_text", "pos"))
-    held = rows.groupBy("_a", "_b", "_doc").agg(F.lit(1).alias("_one")).groupBy("_a", "_b").agg(F.count("_one").alias("_docs"), F.max("_doc").alias("_last"))
-    held = cut(held.filter(F.col("_docs") >= min_docs))
-    pairs = held.agg(F.sum("_docs")).first()[0] or 0
-    heavy = held.filter(F.col("_docs") > max(min_docs, pairs // HEAVY)).select("_a", "_b", F.col("_last").alias("_heavy_last"))
+    some = rows.filter(F.pmod(F.xxhash64(F.lit(2), "_doc", "pos"), F.lit(SAMPLED)) == 0).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    heavy = cut(some.filter(F.col("_n") > max(HITS, rows.count() // SAMPLED // HEAVY)).select("_a", "_b", F.lit(True).alias("_heavy")))
     rows = rows.join(F.broadcast(heavy), ["_a", "_b"], "left")
-    of_heavy = rows.filter(F.col("_heavy_last").isNotNull() & (F.col("_doc") != F.col("_heavy_last")))
-    rest = rows.filter(F.col("_heavy_last").isNull()).repartitionByRange("_a", "_b").sortWithinPartitions("_a", "_b", "_doc", "pos")
+    apart = rows.filter("_heavy")
+    held = apart.groupBy("_a", "_b", "_doc").agg(F.lit(1).alias("_one")).groupBy("_a", "_b").agg(F.count("_one").alias("_docs"), F.max("_doc").alias("_last"))
+    apart = apart.join(F.broadcast(held.filter(F.col("_docs") >= min_docs)), ["_a", "_b"]).filter(F.col("_doc") != F.col("_last"))
+    rest = rows.filter("_heavy is null").repartitionByRange("_a", "_b").sortWithinPartitions("_a", "_b", "_doc", "pos")
     line = Window.partitionBy("_a", "_b").orderBy("_doc")
     whole = Window.partitionBy("_a", "_b").orderBy("_doc").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rest = rest.withColumn("_nth", F.dense_rank().over(line)).withColumn("_docs", F.max("_nth").over(whole))
     rest = rest.filter((F.col("_docs") >= min_docs) & (F.col("_nth") < F.col("_docs")))
-    return of_heavy.select("_doc", "_text", "pos").unionAll(rest.select("_doc", "_text", "pos"))
+    return apart.select("_doc", "_text", "pos").unionAll(rest.select("_doc", "_text", "pos"))
 
 
 def _doc(doc_id: Column) -> Column:

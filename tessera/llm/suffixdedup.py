@@ -38,6 +38,7 @@ LENGTH, GRAM = 50, 16
 #: indexed together up to a quarter of that.
 BUCKET_BYTES, INDEX_SUFFIXES = 8 << 20, 1 << 20
 OUT_ROWS = 1 << 14  # contexts that a batch gives on at a time
+MOST_PARTITIONS = 1 << 17  # that buckets are dealt to; beyond, a partition takes several in turn
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 BEFORE, AFTER = 0xFF, 0xFE  # bytes that UTF-8 doesn't have, around a text
 
@@ -87,7 +88,7 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
 
 
 def _identity(docs: DataFrame) -> DataFrame:
-    """doc (null ids before all others), row (of equal ids and texts the same) and text."""
+    """doc (null ids before all others), row (with doc it names a row; of equal ids and texts the same) and text."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(doc.alias("doc"), F.xxhash64(doc, text).alias("row"), text.alias("text"))
@@ -134,7 +135,7 @@ def dealt_anchors(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                     part.append(values)
             own, context, docs, ids, at = (_concat(p, k) for p, k in zip(parts, ("u8", "u8", "i8", "i8", "i8"), strict=True))
             later = _later(own, context, docs)
-            covered = ids[later].tobytes() + at[later].astype("<u4").tobytes()
+            covered = docs[later].tobytes() + ids[later].tobytes() + at[later].astype("<u4").tobytes()
             own, context, docs, ids, at = (x[~later] for x in (own, context, docs, ids, at))
             bucket = (_mix(own ^ _C) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -155,7 +156,7 @@ def dealt_anchors(rows: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 def shared_anchors(dealt: DataFrame) -> DataFrame:
-    """(row, at, anchor, whole): anchors of several documents; whole if an earlier document has the
+    """(doc, row, at, anchor, whole): anchors of several documents; whole if an earlier document has the
     whole context, else the places in the context's first holder, where other contexts have the anchor too."""
 
     def compared(table: pa.Table) -> pa.Table:
@@ -178,15 +179,15 @@ def shared_anchors(dealt: DataFrame) -> DataFrame:
             opens = np.cumsum(contexts) - contexts
             several = np.minimum.reduceat(first[by_anchor], opens) < np.maximum.reduceat(last[by_anchor], opens)
             chosen = whole | (several & (contexts > 1))[holders[group]]
-        found = [[row[chosen]], [at[chosen].astype(np.int64)], [np.where(whole, np.uint64(0), own)[chosen].view(np.int64)], [whole[chosen]]]
+        found = [[doc[chosen]], [row[chosen]], [at[chosen].astype(np.int64)], [np.where(whole, np.uint64(0), own)[chosen].view(np.int64)], [whole[chosen]]]
         for blob in table.column("covered").drop_null():
             raw = blob.as_buffer()
-            n = len(raw) // 12
-            for column, values in zip(found, (np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64), np.zeros(n, np.int64), np.ones(n, bool)), strict=True):
+            n = len(raw) // 20
+            for column, values in zip(found, (np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<u4", n, 16 * n).astype(np.int64), np.zeros(n, np.int64), np.ones(n, bool)), strict=True):
                 column.append(values)
-        return pa.table(dict(zip(("row", "at", "anchor", "whole"), map(np.concatenate, found), strict=True)))
+        return pa.table(dict(zip(("doc", "row", "at", "anchor", "whole"), map(np.concatenate, found), strict=True)))
 
-    return dealt.groupBy("bucket").applyInArrow(compared, "row long, at long, anchor long, whole boolean")
+    return dealt.groupBy("bucket").applyInArrow(compared, "doc long, row long, at long, anchor long, whole boolean")
 
 
 def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +255,7 @@ def long_matches(rows: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
 
 
 def contexts_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(key, side, row, doc, at, context) of the anchors (row, at, anchor, hot) ``wanted``.
+    """(key, side, row, doc, at, context) of the anchors (doc, row, at, anchor, hot) ``wanted``.
 
     The key is the anchor, or for a hot one in turn: it and half of the reach
     before it (side 1) or after it (side 2), each with what strings that hold the
@@ -262,8 +263,8 @@ def contexts_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """
     reach = length - GRAM
     width, half = 2 * reach + GRAM, reach // 2
-    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("at", "anchor", "hot")).alias("wanted"))
-    both = rows.join(wanted, "row").select("row", "doc", "text", F.col("wanted.at").alias("at"), F.col("wanted.anchor").alias("anchor"), F.col("wanted.hot").alias("hot"))
+    wanted = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "anchor", "hot")).alias("wanted"))
+    both = rows.join(wanted, ["doc", "row"]).select("row", "doc", "text", F.col("wanted.at").alias("at"), F.col("wanted.anchor").alias("anchor"), F.col("wanted.hot").alias("hot"))
 
     def out(columns: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.binary())], ["key", "side", "row", "doc", "at", "context"])
@@ -318,7 +319,7 @@ def _of_several(table: pa.Table) -> pa.Table:
 
 
 def indexed_matches(contexts: DataFrame, length: int, most: int) -> DataFrame:
-    """(row, first, last) by run indexes over all contexts of a key, of which no key has more than ``most``."""
+    """(doc, row, first, last) by run indexes over all contexts of a key, of which no key has more than ``most``."""
     contexts = contexts.repartition(shuffle_partitions(contexts.sparkSession), "key").sortWithinPartitions("key")
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +329,7 @@ def indexed_matches(contexts: DataFrame, length: int, most: int) -> DataFrame:
                 edge = np.diff(np.pad(hits.astype(np.int8), ((0, 0), (1, 1))), axis=1)
                 r, a = np.nonzero(edge == 1)
                 _, b = np.nonzero(edge == -1)
-                yield pa.RecordBatch.from_arrays([pa.array(part.column("row").to_numpy()[r]), pa.array(starts[r, a]), pa.array(starts[r, 0] + b - 1)], ["row", "first", "last"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(part.column(c).to_numpy()[r]) for c in ("doc", "row")), pa.array(starts[r, a]), pa.array(starts[r, 0] + b - 1)], ["doc", "row", "first", "last"])
 
         held: pa.Table | None = None
         for batch in batches:
@@ -345,11 +346,11 @@ def indexed_matches(contexts: DataFrame, length: int, most: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield from out(held)
 
-    return contexts.mapInArrow(matched, "row long, first long, last long")
+    return contexts.mapInArrow(matched, "doc long, row long, first long, last long")
 
 
 def counted_matches(contexts: DataFrame, length: int) -> DataFrame:
-    """(row, first, last) by the earliest document of each string, however many contexts a key has.
+    """(doc, row, first, last) by the earliest document of each string, however many contexts a key has.
 
     Equal strings are salted by row: a salt's earliest document comes first, then
     the earliest of all salts, which goes back to each of them.
@@ -367,17 +368,17 @@ def counted_matches(contexts: DataFrame, length: int) -> DataFrame:
     salted = found.groupBy("string", "salt").agg(F.min("doc").alias("earliest"))
     earliest = salted.groupBy("string").agg(F.min("earliest").alias("earliest"))
     salted = salted.drop("earliest").join(earliest, "string")
-    return found.join(salted, ["string", "salt"]).filter("doc > earliest").select("row", F.col("start").alias("first"), F.col("start").alias("last"))
+    return found.join(salted, ["string", "salt"]).filter("doc > earliest").select("doc", "row", F.col("start").alias("first"), F.col("start").alias("last"))
 
 
 def partial_matches(rows: DataFrame, shared: DataFrame, length: int, suffixes: int = INDEX_SUFFIXES) -> list[DataFrame]:
-    """Tables of (row, first, last): places where strings start that an earlier document has, from contexts that share an anchor only.
+    """Tables of (doc, row, first, last): places where strings start that an earlier document has, from contexts that share an anchor only.
 
     Keys with more contexts than an index of ``suffixes`` takes are counted exactly
     and dealt by longer keys, those of them that have too many still by strings.
     """
     most = max(1, suffixes // (2 * (length - GRAM) + GRAM))
-    wanted = shared.filter("not whole").select("row", "at", "anchor")
+    wanted = shared.filter("not whole").select("doc", "row", "at", "anchor")
     hot = cut_table(wanted.groupBy("anchor").count().filter(F.col("count") > most).select("anchor", F.lit(True).alias("hot")))
     if hot.isEmpty():
         return [indexed_matches(contexts_of(rows, wanted.withColumn("hot", F.lit(False)), length), length, most)]
@@ -390,18 +391,18 @@ def partial_matches(rows: DataFrame, shared: DataFrame, length: int, suffixes: i
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, suffixes: int = INDEX_SUFFIXES) -> DataFrame:
-    """(row, spans): by row of ``_identity(docs)``, packed pairs of the first and last place where removed strings start."""
+    """(doc, row, spans): by row of ``_identity(docs)``, packed pairs of the first and last place where removed strings start."""
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = _identity(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), -(-total // BUCKET_BYTES))
-    shared = cut_table(shared_anchors(dealt_anchors(rows, buckets, length).repartition(buckets, "bucket")))
+    shared = cut_table(shared_anchors(dealt_anchors(rows, buckets, length).repartition(min(buckets, MOST_PARTITIONS), "bucket")))
     reach = length - GRAM
-    whole = shared.filter("whole").select("row", (F.col("at") - reach).alias("first"), F.col("at").alias("last"))
+    whole = shared.filter("whole").select("doc", "row", (F.col("at") - reach).alias("first"), F.col("at").alias("last"))
     for part in partial_matches(rows, shared, length, suffixes):
         whole = whole.unionAll(cut_table(part))
-    return whole.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return whole.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def dedup_strings(docs: DataFrame, length: int = LENGTH, with_text: bool = False, suffixes: int = INDEX_SUFFIXES) -> DataFrame:
@@ -413,9 +414,9 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, with_text: bool = False
     equal id don't remove each other's bytes; an empty table gives no rows; other
     columns are ignored.
     """
-    found = removed_spans(docs, length, suffixes).withColumnRenamed("row", "_row")
+    found = removed_spans(docs, length, suffixes)
     rows = _identity(docs).withColumn("doc_id", F.when(F.col("doc") != -(2**63), F.col("doc")))
-    both = rows.join(found, F.col("row") == F.col("_row"), "left").select("doc_id", "text", F.col("spans.first").alias("first"), F.col("spans.last").alias("last"))
+    both = rows.join(found, ["doc", "row"], "left").select("doc_id", "text", F.col("spans.first").alias("first"), F.col("spans.last").alias("last"))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

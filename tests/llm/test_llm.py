@@ -81,7 +81,11 @@ def test_simhash_links_of_dense_fingerprints(spark):
     assert groups(len(fps), lambda i, j: (i, j) in both) == groups(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
 
 
-def test_line_dedup(spark, corpus):
+@pytest.mark.parametrize(("sampled", "hits"), [(64, 64), (1, 8), (1, 0)])
+def test_line_dedup(spark, corpus, monkeypatch, sampled, hits):
+    """All hashes streamed, those of over 8 lines apart, all apart."""
+    monkeypatch.setattr(linededup, "SAMPLED", sampled)
+    monkeypatch.setattr(linededup, "HITS", hits)
     df, texts, ids = table(spark, corpus)
     strip = " \t\n\x0b\x0c\r"
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
