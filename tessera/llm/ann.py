@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, cut, shuffle_partitions
+from tessera.llm.common import bounded_batches, cut, released, shuffle_partitions
 from tessera.llm.vectors import dimension, matrix, unit, usable
 
 #: Bits of a code; deviations of its distance that a radius allows; rows that a rotation is learned from at most; rows of a block.
@@ -186,5 +186,5 @@ def search(table: DataFrame, queries, k: int = 5, key: str = "vec_id", vector: s
 
     dealt = left.unionAll(right).repartition(shuffle_partitions(spark), "i").sortWithinPartitions("i", "kind", "n")
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "m")
-    found = dealt.mapInArrow(compared, FOUND).withColumn("rank", F.row_number().over(order))
+    found = dealt.mapInArrow(lambda batches: released(compared(batches)), FOUND).withColumn("rank", F.row_number().over(order))
     return found.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, fold
+from tessera.llm.common import bounded_batches, fold, released
 
 BUCKETS, GRAMS, SCALE = 1 << 15, 3, 40.0
 #: About so many rows of each language are learnt from, by hash of their id and text, of texts of so many characters at most.
@@ -127,7 +127,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], ["bucket", "n"])
 
-    rows = texts.select(F.col("text").cast("string")).mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = texts.select(F.col("text").cast("string")).mapInArrow(lambda batches: released(counted(batches)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(BUCKETS + 1, np.int64)
     for r in rows:
         out[r["bucket"]] = r["n"]
@@ -249,5 +249,5 @@ def predict(docs: DataFrame, model: Model, modulus: int = 3, held_out: int = 1)
             languages, scores = predict_texts(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(languages, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(predicted, "doc_id long, lang_pred string, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: released(predicted(batches)), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", fold(F.col("doc_id"), modulus, held_out).alias("held_out"), "lang_pred", "score")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, bounds, cut, groups, ranked, shuffle_partitions
+from tessera.llm.common import bounded_batches, bounds, cut, groups, ranked, released, shuffle_partitions
 from tessera.llm.components import attach, components
 from tessera.llm.vectors import dimension, matrix, unit, usable
 
@@ -112,10 +112,10 @@ def in_orders(nodes: DataFrame, width: int, threshold: float, batch: int = 0) ->
                         parts = []
             yield _batch(parts)
 
-    keyed = nodes.select("id", "label", "x", "orders").mapInArrow(ordered, "label long, tree long, code long, id long, x " + dict(nodes.dtypes)["x"])
+    keyed = nodes.select("id", "label", "x", "orders").mapInArrow(lambda batches: released(ordered(batches)), "label long, tree long, code long, id long, x " + dict(nodes.dtypes)["x"])
     keys = ["label", "tree", "code", "id"]
     spread = keyed.repartitionByRange(shuffle_partitions(nodes.sparkSession), *keys).sortWithinPartitions(*keys)
-    return cut(_nearest(spread.mapInArrow(compared, EDGES)))
+    return cut(_nearest(spread.mapInArrow(lambda batches: released(compared(batches)), EDGES)))
 
 
 def descend(nodes: DataFrame, graph: DataFrame, width: int, threshold: float, reverse: int = REVERSE) -> DataFrame:
@@ -134,7 +134,7 @@ def descend(nodes: DataFrame, graph: DataFrame, width: int, threshold: float, re
             every = [slice(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b - a > 1]
             yield _batch([_found(ids, x, one, one, 4, threshold) for one in every])
 
-    found = around.repartition(shuffle_partitions(nodes.sparkSession), "w").sortWithinPartitions("w", "a").mapInArrow(compared, EDGES)
+    found = around.repartition(shuffle_partitions(nodes.sparkSession), "w").sortWithinPartitions("w", "a").mapInArrow(lambda batches: released(compared(batches)), EDGES)
     return cut(_nearest(graph.unionAll(found)))
 
 
@@ -197,7 +197,7 @@ def tiles(members: DataFrame, rows: int, width: int, threshold: float) -> DataFr
 
     keys = ["root", "kind", "i", "j"]
     dealt = every.repartition(shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys, "tile", "id")
-    return dealt.mapInArrow(compared, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return dealt.mapInArrow(lambda batches: released(compared(batches)), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:

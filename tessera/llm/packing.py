@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import ChunkCache, buffers, resident
-from tessera.llm.common import bounded_batches, cut, cut_table, ranked
+from tessera.llm.common import bounded_batches, cut, cut_table, ranked, released
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -125,7 +125,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
                 names, columns = [*names, "ids"], [*columns, pa.array(rows[5], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, PIECES + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: released(pieces(batches)), PIECES + ", ids array<int>" * with_ids)
 
 
 def best_fill(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -216,7 +216,7 @@ def place(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return numbered.select(*columns, F.col("rank").cast("long")).mapInArrow(put, schema)
+    return numbered.select(*columns, F.col("rank").cast("long")).mapInArrow(lambda batches: released(put(batches)), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, cut, named, one_of_each
+from tessera.llm.common import bounded_batches, cut, named, one_of_each, released
 from tessera.llm.components import attach, components
 
 SHINGLE, DISTANCE, SEGMENT_BITS, SEED = 4, 4, 2, 42
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(4)], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(fps.view(np.int64))], [*marks, "fp"])
 
-    return named(docs).select(*marks, "text").mapInArrow(fingerprinted, "doc_id long, id long, a long, b long, fp long")
+    return named(docs).select(*marks, "text").mapInArrow(lambda batches: released(fingerprinted(batches)), "doc_id long, id long, a long, b long, fp long")
 
 
 def embedding(half: np.ndarray, segment_bits: int) -> np.ndarray:
@@ -157,8 +157,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, segment_bits: int = SEG
         if held:
             yield out(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
-    spread_out = distinct.select("fp").mapInArrow(spread, "cell long, fp long")
-    return spread_out.repartition("cell").sortWithinPartitions("cell").mapInArrow(compared, "a long, b long")
+    spread_out = distinct.select("fp").mapInArrow(lambda batches: released(spread(batches)), "cell long, fp long")
+    return spread_out.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: released(compared(batches)), "a long, b long")
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, segment_bits: int = SEGMENT_BITS) -> DataFrame:

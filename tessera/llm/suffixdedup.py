@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import buffers
-from tessera.llm.common import bounded_batches, cut_table, shuffle_partitions
+from tessera.llm.common import bounded_batches, cut_table, released, shuffle_partitions
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text whose anchors a bucket gets, and suffixes that one key may bring to an index; keys are
@@ -152,7 +152,7 @@ def dealt_anchors(rows: DataFrame, buckets: int, length: int) -> DataFrame:
                 out[2].append(None)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["bucket", "packed", "covered"])
 
-    return rows.mapInArrow(packed, "bucket long, packed binary, covered binary")
+    return rows.mapInArrow(lambda batches: released(packed(batches)), "bucket long, packed binary, covered binary")
 
 
 def shared_anchors(dealt: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def contexts_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                             column.append(value)
             yield out(columns)
 
-    return both.mapInArrow(extracted, "key long, side long, row long, doc long, at long, context binary")
+    return both.mapInArrow(lambda batches: released(extracted(batches)), "key long, side long, row long, doc long, at long, context binary")
 
 
 def _by_width(table: pa.Table, length: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
@@ -346,7 +346,7 @@ def indexed_matches(contexts: DataFrame, length: int, most: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield from out(held)
 
-    return contexts.mapInArrow(matched, "doc long, row long, first long, last long")
+    return contexts.mapInArrow(lambda batches: released(matched(batches)), "doc long, row long, first long, last long")
 
 
 def counted_matches(contexts: DataFrame, length: int) -> DataFrame:
@@ -364,7 +364,7 @@ def counted_matches(contexts: DataFrame, length: int) -> DataFrame:
                 digests = [hashlib.blake2b(texts[i, k : k + length], digest_size=16).digest() for i, k in zip(r.tolist(), a.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(part.column("row").to_numpy()[r]), pa.array(part.column("doc").to_numpy()[r]), pa.array(starts[r, a]), pa.array(digests, pa.binary())], ["row", "doc", "start", "string"])
 
-    found = contexts.mapInArrow(strings, "row long, doc long, start long, string binary").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
+    found = contexts.mapInArrow(lambda batches: released(strings(batches)), "row long, doc long, start long, string binary").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     salted = found.groupBy("string", "salt").agg(F.min("doc").alias("earliest"))
     earliest = salted.groupBy("string").agg(F.min("earliest").alias("earliest"))
     salted = salted.drop("earliest").join(earliest, "string")
@@ -443,4 +443,4 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, with_text: bool = False
                 names, columns = [*names, "kept"], [*columns, pa.array(out[4], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return both.mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return both.mapInArrow(lambda batches: released(removed(batches)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)

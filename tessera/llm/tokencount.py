@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import ChunkCache, buffers, resident
-from tessera.llm.common import bounded_batches
+from tessera.llm.common import bounded_batches, released
 
 SPACE, UNKNOWN_PENALTY = "▁", 10.0
 
@@ -107,4 +107,4 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter.counts(batch.column(1)))], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(counted, "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: released(counted(batches)), "doc_id long, n_tokens long")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import ChunkCache, buffers, resident
-from tessera.llm.common import bounded_batches, fold
+from tessera.llm.common import bounded_batches, fold, released
 
 #: Labelled rows of each class that a fit reads at most, by hash of their id, of texts of so many characters at most.
 TOXIC_ROWS, ORDINARY_ROWS, LEARN_CHARS = 1200, 2400, 1 << 16
@@ -237,7 +237,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: released(scored(batches)), "doc_id long, score double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2) -> Model:
@@ -271,4 +271,4 @@ def reject(docs: DataFrame, model: Model, limit: float = 0.3) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
             yield batch.filter(pa.array(p < limit))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(lambda batches: released(kept(batches)), docs.schema)
