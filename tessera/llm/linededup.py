@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_SPACE, ascii_lower, cut
+from tessera.llm.common import ASCII_SPACE, ascii_lower, cut_table
 
 #: One line in so many is looked at to find hashes that are handled apart: those seen more often than HITS times
 #: and than a HEAVY-th of all looked at, which are fewer than HEAVY (and broadcast).
@@ -31,9 +31,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     """(_doc, _text, pos) of the lines to drop; _doc and _text name a row of ``docs`` as in ``keep_bitmaps``."""
     rows = docs.select(_doc(F.col("doc_id")).alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_text"), F.posexplode(_lines(F.col("text").cast("string"))).alias("pos", "_line"))
     rows = rows.withColumn("_key", line_key(F.col("_line"))).filter(F.length("_key") >= min_chars)
-    rows = cut(rows.select(F.xxhash64("_key").alias("_a"), F.xxhash64(F.lit(1), F.col("_key")).alias("_b"), "_doc", "_text", "pos"))
+    rows = cut_table(rows.select(F.xxhash64("_key").alias("_a"), F.xxhash64(F.lit(1), F.col("_key")).alias("_b"), "_doc", "_text", "pos"))
     some = rows.filter(F.pmod(F.xxhash64(F.lit(2), "_doc", "pos"), F.lit(SAMPLED)) == 0).groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    heavy = cut(some.filter(F.col("_n") > max(HITS, rows.count() // SAMPLED // HEAVY)).select("_a", "_b", F.lit(True).alias("_heavy")))
+    heavy = cut_table(some.filter(F.col("_n") > max(HITS, rows.count() // SAMPLED // HEAVY)).select("_a", "_b", F.lit(True).alias("_heavy")))
     rows = rows.join(F.broadcast(heavy), ["_a", "_b"], "left")
     apart = rows.filter("_heavy")
     held = apart.groupBy("_a", "_b", "_doc").agg(F.lit(1).alias("_one")).groupBy("_a", "_b").agg(F.count("_one").alias("_docs"), F.max("_doc").alias("_last"))
@@ -64,16 +64,16 @@ def runs(dropped: Column, n_lines: Column) -> Column:
 
 
 def _deduped(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """row (all columns of ``docs``, whatever their names), doc_id, text, n_lines, n_dropped, keep, kept."""
+    """row (all columns of ``docs``, whatever their names), n_lines, n_dropped, keep, kept."""
     found = keep_bitmaps(docs, min_chars, min_docs)
-    text = F.col("text").cast("string")
-    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), text.alias("text"), _doc(F.col("doc_id")).alias("_doc"), F.xxhash64(text).alias("_text"))
+    own = docs.select(F.struct("*").alias("row"), _doc(F.col("doc_id")).alias("_doc"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
     both = own.join(found, ["_doc", "_text"], "left")
-    lines = _lines(F.col("text"))
+    text = F.col("row.text").cast("string")
+    lines = _lines(text)
     both = both.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.coalesce(F.size("dropped"), F.lit(0)).cast("long"))
     both = both.withColumn("keep", F.when(F.col("dropped").isNull(), F.array(F.struct(F.lit(0).alias("first"), F.col("n_lines").cast("int").alias("n")))).otherwise(runs(F.col("dropped"), F.col("n_lines"))))
     joined = F.array_join(F.flatten(F.transform(F.col("keep"), lambda r: F.slice(lines, r["first"] + 1, r["n"]))), "\n")
-    return both.withColumn("kept", F.when(F.col("n_dropped") == 0, F.coalesce(F.col("text"), F.lit(""))).otherwise(joined))
+    return both.withColumn("kept", F.when(F.col("n_dropped") == 0, F.coalesce(text, F.lit(""))).otherwise(joined))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -87,7 +87,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     text is split whole, in the memory of one row; an empty table gives no rows;
     other columns are ignored.
     """
-    return _deduped(docs, min_chars, min_docs).select("doc_id", "n_lines", "n_dropped", "keep", "kept")
+    return _deduped(docs.select("doc_id", "text"), min_chars, min_docs).select("row.doc_id", "n_lines", "n_dropped", "keep", "kept")
 
 
 def apply(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

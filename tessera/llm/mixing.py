@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunk_rows, cut, shuffle_partitions
+from tessera.llm.common import chunk_rows, cut_table, shuffle_partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block; slots of an output shard; rounds of a permutation.
@@ -72,7 +72,7 @@ def laid_out(docs: DataFrame) -> DataFrame:
     follows, reruns included, sees the same places.
     """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source(F.col("source")).alias("_source"), size.alias("size"), F.xxhash64(F.col("text").cast("string")).alias("_hash")))
+    rows = cut_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source(F.col("source")).alias("_source"), size.alias("size"), F.xxhash64(F.col("text").cast("string")).alias("_hash")))
     n = rows.count()
     chunks = max(1, -(-n // chunk_rows(n)))
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_source", "_hash").orderBy("size")))
@@ -83,7 +83,7 @@ def laid_out(docs: DataFrame) -> DataFrame:
     inside = Window.partitionBy("_source", "_chunk").orderBy("doc_id", "_hash", "_copy").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = rows.join(sums, ["_source", "_chunk"]).withColumn("_start", F.col("_ahead") + F.col("_inside"))
-    return cut(placed.select("doc_id", "_source", "size", "_hash", "_copy", "_start"))
+    return cut_table(placed.select("doc_id", "_source", "size", "_hash", "_copy", "_start"))
 
 
 def source_plan(placed: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = 7) -> DataFrame:
@@ -105,7 +105,7 @@ def source_plan(placed: DataFrame, weights: tuple = WEIGHTS, share: float = SHAR
     out = out.withColumn("_over", F.greatest(words - goal, F.lit(0)))
     order = Window.orderBy("_source").rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumn("_first", F.coalesce(F.sum("_slots").over(order), F.lit(0)))
-    return cut(out.withColumn("_all", F.sum("_slots").over(Window.partitionBy())))
+    return cut_table(out.withColumn("_all", F.sum("_slots").over(Window.partitionBy())))
 
 
 def slots(plan: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 7) -> DataFrame:
@@ -176,7 +176,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
 def mixed_texts(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 7) -> DataFrame:
     """The mix itself: one row per document and pass over its source, with the words taken, in the columns of ``docs``.
 
-    Rows stand in order of the output shard and slot that read them first. A word
+    A word
     carries the white space after it. A row all of whose words are taken keeps its
     text as it is; n_chars, where there is one, is counted anew for the others.
     Documents without words (null texts too) and those of which no word is taken
@@ -186,17 +186,15 @@ def mixed_texts(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     placed = laid_out(docs)
     plan = source_plan(placed, weights, share, cap, seed=seed)
     read = pieces(placed, slots(plan, seed=seed)).filter("words > 0").groupBy("doc_id", "_source", "_hash", "_copy", "size", "_turn")
-    read = read.agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("_pieces"), F.sum("words").alias("_taken"), F.min(F.struct("shard", "slot")).alias("_place"))
-    read = read.select(F.col("doc_id").alias("_i"), "_source", "_hash", "_copy", "size", "_pieces", "_taken", "_place")
-    text = F.col("text").cast("string")
-    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), _source(F.col("source")).alias("_s"), F.xxhash64(text).alias("_h"), text.alias("text"))
+    read = read.agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("_pieces"), F.sum("words").alias("_taken"))
+    read = read.select(F.col("doc_id").alias("_i"), "_source", "_hash", "_copy", "size", "_pieces", "_taken")
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"), _source(F.col("source")).alias("_s"), F.xxhash64(F.col("text").cast("string")).alias("_h"))
     comparable = [F.col("row").getField(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     own = own.withColumn("_c", F.row_number().over(Window.partitionBy("_id", "_s", "_h").orderBy(F.xxhash64(*comparable))))
     both = own.join(read, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_s") == F.col("_source")) & (F.col("_h") == F.col("_hash")) & (F.col("_c") == F.col("_copy")))
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    words = F.regexp_extract_all(F.col("row.text").cast("string"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     some = F.array_join(F.flatten(F.transform(F.col("_pieces"), lambda p: F.slice(words, (p["at"] + 1).cast("int"), p["words"].cast("int")))), "")
     both = both.withColumn("_new", F.when(F.col("_taken") < F.col("size"), some))
-    both = both.repartitionByRange(shuffle_partitions(docs.sparkSession), "_place").sortWithinPartitions("_place")
     fresh = {"text": F.col("_new"), "n_chars": F.length("_new")}
     own = lambda n: F.col("row").getField(n)
     return both.select(*[(F.when(F.col("_new").isNull(), own(n)).otherwise(fresh[n].cast(docs.schema[n].dataType)) if n in fresh else own(n)).alias(n) for n in docs.columns])
