@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import linededup, minhash, mixing, packing, toxicity
+from tessera.llm import linededup, mixing, nearcopies, packing, toxicity
 from tessera.llm.common import cut
 
+#: The name under which the tests know the operator of the near-dedup stage.
+minhash = nearcopies
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the classifier learns from the labelled ones. Null and empty texts stay, and without labels all do."""
@@ -25,7 +28,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Texts without words are copies of each other; null and repeated ids link nothing.
     """
-    return minhash.keep_first(docs)
+    return nearcopies.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

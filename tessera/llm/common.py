@@ -68,13 +68,20 @@ def cut_table(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     with shuffles_removed(spark):
         df.write.parquet(path)
     if instead_of is not None:
-        old = spark._jvm.org.apache.hadoop.fs.Path(instead_of._cut_to)
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        discarded(instead_of)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_to = path
     return out
 
 
+def discarded(*tables: DataFrame) -> None:
+    """Remove what ``cut_table`` wrote of ``tables``, to which nothing else may refer."""
+    for table in tables:
+        spark = table.sparkSession
+        old = spark._jvm.org.apache.hadoop.fs.Path(table._cut_to)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for tables with very long texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
